@@ -111,9 +111,16 @@ def policy_summary(per_domain, min_rows=100, by=()):
     })
 
 
-def _ranked_values(df, value, by, limit):
-    """Distinct values with their count and the number of rows up to and including them."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+def _ranked_values(df, value, by, limit, weight=None):
+    """Distinct values with their count and the number of rows up to and including them.
+
+    With ``weight`` the table already holds one row per value and that column counts the rows behind it.
+    """
+    known = df.where(F.col(value).isNotNull())
+    if weight:
+        counts = known.select(*by, value, F.col(weight).alias("n"))
+    else:
+        counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     ranked = with_running(counts, by, [value], limit=limit, upto=running_sum(F.col("n")))
     totals = ranked.groupBy(*by).agg(F.max("upto").alias("total"))
     if by:
@@ -124,13 +131,13 @@ def _ranked_values(df, value, by, limit):
     return ranked.withColumn("total", totals.scalar())
 
 
-def nearest_rank_quantiles(df, value, quantiles, by=(), limit=ROWS_PER_TASK):
+def nearest_rank_quantiles(df, value, quantiles, by=(), limit=ROWS_PER_TASK, weight=None):
     """Element number round((n - 1) * q), halves to even, of the sorted values.
 
     Works on value counts, so nothing of the size of the data is sorted or held in one task.
     """
     by = list(by)
-    ranked = _ranked_values(df, value, by, limit)
+    ranked = _ranked_values(df, value, by, limit, weight)
     asked = ranked.withColumn("quantile", F.explode(F.array(*(F.lit(float(q)) for q in quantiles))))
     index = F.bround((F.col("total") - 1) * F.col("quantile"), 0).cast("bigint")
     return asked.where((index < F.col("upto")) & (index >= F.col("upto") - F.col("n"))).select(

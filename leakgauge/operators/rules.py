@@ -14,28 +14,44 @@ from leakgauge.operators.ranking import best_trial
 from leakgauge.plans.ordered import ROWS_PER_TASK, running_sum, with_running
 
 
+def value_table(rows):
+    """Rows per class, feature and value: all that thresholds are chosen from, far smaller than the rows.
+
+    It is kept (memory, then disk) because the steps below read it several times.
+    """
+    values = long_features(rows, RULE_FEATURES, ["label"])
+    return values.groupBy("label", "feature", "value").agg(F.count(F.lit(1)).alias("n")).persist()
+
+
 def candidate_thresholds(train, keep=3, limit=ROWS_PER_TASK):
-    """The ``keep`` best single-feature cut-offs per feature, scored on the training rows alone.
+    """The ``keep`` best single-feature cut-offs per feature, scored on the training rows alone."""
+    return best_cuts(value_table(train), keep, limit)
+
 
-    Candidates are class quantiles, at least the floor of the feature. All features are handled together:
-    values are counted once, and a cut-off is scored by how many rows of each class lie at or above it.
+def best_cuts(counts, keep=3, limit=ROWS_PER_TASK):
+    """Candidates are class quantiles, at least the floor of the feature.
+
+    All features are handled together; a cut-off is scored by how many rows of each class lie at or above it.
     """
-    values = long_features(train, RULE_FEATURES, ["label"])
-    quantiles = nearest_rank_quantiles(values, "value", CANDIDATE_QUANTILES, ["label", "feature"], limit)
+    quantiles = nearest_rank_quantiles(counts, "value", CANDIDATE_QUANTILES, ["label", "feature"], limit, "n")
     floors = F.create_map(*(F.lit(x) for pair in THRESHOLD_FLOORS.items() for x in pair))
-    floor = F.coalesce(F.try_element_at(floors, F.col("feature")), F.lit(float("-inf")))
-    offered = quantiles.select("feature", "value").distinct().where(F.col("value") >= floor)
-    features = values.select("feature").distinct()
-    only_floor = features.join(offered, "feature", "left_anti").withColumn(
-        "value", F.try_element_at(floors, F.col("feature"))
+    floor = F.try_element_at(floors, F.col("feature"))
+    offered = quantiles.groupBy("feature", "value").agg(F.first("quantile").alias("q")).withColumn(
+        "ok", F.col("value") >= F.coalesce(floor, F.lit(float("-inf")))
     )
-    cuts = offered.unionByName(only_floor)
-    counts = values.groupBy("feature", "value").agg(
-        F.count_if(F.col("label") == 1).alias("attack"), F.count_if(F.col("label") == 0).alias("benign"),
+    # A feature none of whose quantiles reaches its floor gets the floor itself.
+    cuts = offered.groupBy("feature").agg(
+        F.collect_list(F.when(F.col("ok"), F.col("value"))).alias("cuts"),  # at most 14 per feature
+    ).withColumn("cut", F.explode(F.when(F.size("cuts") > 0, F.col("cuts")).otherwise(F.array(floor))))
+    none = F.lit(0).cast("bigint")
+    marks = cuts.select("feature", F.col("cut").alias("value"), none.alias("attack"), none.alias("benign"), "cut")
+    steps = counts.select(
+        "feature", "value",
+        F.when(F.col("label") == 1, F.col("n")).otherwise(0).alias("attack"),
+        F.when(F.col("label") == 0, F.col("n")).otherwise(0).alias("benign"),
         F.lit(None).cast("double").alias("cut"),
-    )
-    marks = cuts.select("feature", "value", F.lit(0).cast("bigint").alias("attack"), F.lit(0).cast("bigint").alias("benign"), F.col("value").alias("cut"))
-    both = counts.unionByName(marks).withColumns({
+    ).groupBy("feature", "value", "cut").agg(F.sum("attack").alias("attack"), F.sum("benign").alias("benign"))
+    both = steps.select(marks.columns).unionByName(marks).withColumns({
         # From high to low; a cut-off comes after the rows that equal it.
         "__down": -F.col("value"), "__last": F.col("cut").isNotNull().cast("int"),
     })
@@ -43,7 +59,7 @@ def candidate_thresholds(train, keep=3, limit=ROWS_PER_TASK):
         both, ["feature"], ["__down", "__last"], limit=limit,
         tp=running_sum(F.col("attack")), fp=running_sum(F.col("benign")),
     )
-    totals = counts.groupBy("feature").agg(F.sum("attack").alias("attacks"), F.sum("benign").alias("benigns"))
+    totals = steps.groupBy("feature").agg(F.sum("attack").alias("attacks"), F.sum("benign").alias("benigns"))
     scored = with_rates(
         swept.where("cut IS NOT NULL").select("feature", "cut", "tp", "fp").join(totals, "feature").select(
             "feature", F.col("cut").alias("threshold"), "tp", "fp",
@@ -109,14 +125,16 @@ def select_thresholds(train, validation, keep=3, limit=ROWS_PER_TASK):
     check_model_inputs(RULE_FEATURES)
     if keep < 1:
         raise ValueError("at least one candidate per feature is needed")
-    classes = {r["label"] for r in train.select("label").distinct().limit(3).collect()}
+    counts = value_table(train)
+    classes = {r["label"] for r in counts.select("label").distinct().limit(3).collect()}
     if classes != {0, 1}:
         raise DataError("training rows must hold both classes")
-    if validation.isEmpty():
-        raise DataError("there are no validation rows")
-    trials = grid_metrics(validation, threshold_grid(candidate_thresholds(train, keep, limit)))
+    trials = grid_metrics(validation, threshold_grid(best_cuts(counts, keep, limit)))
     ordered = trials.withColumn("__fpr", -F.col("false_positive_rate"))
-    return best_trial(ordered, ["f1", "__fpr", "recall", "precision"]).drop("__fpr")
+    best = best_trial(ordered, ["f1", "__fpr", "recall", "precision"]).drop("__fpr").persist()
+    if best.isEmpty():
+        raise DataError("there are no validation rows")
+    return best
 
 
 def rule_of(best):

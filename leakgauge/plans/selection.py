@@ -149,6 +149,7 @@ def select_by_groups(features, specs=None, folds=3, seed=42, policy=Policy(), th
     The prepared rows are kept (memory, then disk) because every fit reads them again.
     """
     specs = specs or regular_grid(seed=seed)
+    features = features.persist(StorageLevel.MEMORY_AND_DISK)
     fold_map = require_both_classes(domain_folds(features, folds, seed))
     rows = require_disjoint(with_fold(model_input(features), fold_map), "fold")
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
@@ -161,7 +162,8 @@ def select_by_groups(features, specs=None, folds=3, seed=42, policy=Policy(), th
 def select_by_validation(train, validation, specs=None, thresholds=(0.3, 0.5, 0.7)):
     """Candidates fitted on the training part and compared on the validation part; no refit."""
     specs = specs or wide_grid()
-    train, validation = model_input(train), model_input(validation)
+    train = model_input(train).persist(StorageLevel.MEMORY_AND_DISK)
+    validation = model_input(validation)
     models = [fit_forest(train, spec) for spec in specs]
     scored = reduce(lambda a, b: a.unionByName(b), [
         with_score(validation, m).select(F.lit(i).alias("candidate"), "label", "score") for i, m in enumerate(models)
@@ -178,6 +180,7 @@ def nested_evaluation(features, specs=None, outer=5, inner=3, seed=42, policy=Po
 
     Features are derived once for all folds: folds hold whole domains, and a history never crosses domains.
     """
+    features = features.persist(StorageLevel.MEMORY_AND_DISK)
     fold_map = require_both_classes(domain_folds(features, outer, seed))
     rows = with_fold(features, fold_map).withColumnRenamed("fold", "outer_fold").persist(StorageLevel.MEMORY_AND_DISK)
     parts, chosen = [], []

@@ -47,11 +47,11 @@ def with_row_numbers(scan, name="row_id"):
     )
 
 
-def canonical(df):
+def canonical(df, extra=()):
     """Map accepted headers to the canonical columns; everything is trimmed text, labels become 0, 1 or -1.
 
     If a table has several spellings of one column, the last one counts. ``label_text`` keeps the label
-    as written for the strict loader.
+    as written for the strict loader. Columns named in ``extra`` are passed on as they are.
     """
     known = {}
     for column in df.columns:
@@ -69,7 +69,7 @@ def canonical(df):
     label_text = text("label", None)
     number = label_text.try_cast("double")
     label = F.coalesce(number.try_cast("int"), F.lit(-1)) if "label" in known else F.lit(0)
-    return df.select(*columns, label.alias("label"), label_text.cast("string").alias("label_text"))
+    return df.select(*columns, label.alias("label"), label_text.cast("string").alias("label_text"), *extra)
 
 
 def read_raw(spark, paths, max_rows=None, **options):
