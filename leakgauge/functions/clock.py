@@ -73,12 +73,20 @@ def epoch_seconds(micros):
     return micros / 1e6
 
 
-def with_event_time(df, raw="timestamp", micros="epoch_us"):
-    """Parsed time in three shapes: exact integer, seconds and standard text."""
-    return df.withColumn(micros, parse_epoch_micros(F.col(raw))).withColumns({
-        "epoch_time": epoch_seconds(F.col(micros)),
-        raw: F.when(F.col(micros).isNull(), F.col(raw)).otherwise(standard_text(F.col(micros))),
-    })
+def printed_seconds(micros):
+    """Epoch seconds with three decimals, rounded the way the exact binary value of the double rounds.
+
+    Only times that end in half a millisecond are in doubt. There the double nearest to the time lies a
+    little above or below it; both are compared as integers scaled by 2**42.
+    """
+    seconds = micros / 1e6
+    scaled = ((seconds - F.floor(seconds)) * float(2**42)).cast("bigint") * 1_000_000
+    error = scaled - micros % 1_000_000 * 2**42
+    millis, rest = F.floor(micros / 1000).cast("bigint"), micros % 1000
+    up = (rest > 500) | ((rest == 500) & ((error > 0) | ((error == 0) & (millis % 2 == 1))))
+    rounded = millis + up.cast("bigint")
+    exact = F.concat(F.floor(rounded / 1000).cast("string"), F.lit("."), F.lpad((rounded % 1000).cast("string"), 3, "0"))
+    return F.when(micros >= 1024 * 1_000_000, exact).otherwise(F.format_string("%.3f", seconds))
 
 
 def rebase(df, start_us, micros="epoch_us"):

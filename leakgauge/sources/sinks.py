@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from leakgauge.contract import MODEL_FEATURES, PREDICTION_SCHEMA, DataError
+from leakgauge.functions.clock import printed_seconds
 from leakgauge.functions.domain import flatten_labels
 from leakgauge.functions.verdict import alert_id, risk_tier, rule_indicators
 from leakgauge.plans.cleaning import cleaned_table
@@ -12,7 +13,7 @@ MODE = "errorifexists"
 
 def printed_cleaned(cleaned):
     """The cleaned columns with the epoch printed to three decimals."""
-    return cleaned_table(cleaned).withColumn("epoch_time", F.format_string("%.3f", "epoch_time"))
+    return cleaned_table(cleaned.withColumn("epoch_time", printed_seconds(F.col("epoch_us"))))
 
 
 def write_cleaned_csv(cleaned, path):
