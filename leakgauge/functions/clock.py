@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from leakgauge.functions.domain import stripped
+from leakgauge.functions.once import bound
 
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
 _NUMBER = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\z"
@@ -11,6 +12,7 @@ _FIRST_SECOND, _END_SECOND = -62135596800, 253402300800
 _CLOCK = r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(?:\.[0-9]{1,6})?\z"
 _YEAR_FIRST = rf"^[0-9]{{4}}([-/])[0-9]{{1,2}}\1[0-9]{{1,2}}\s+{_CLOCK}"
 _DAY_FIRST = rf"^[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}\s+{_CLOCK}"
+_USUAL = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(?:\.[0-9]{1,6})?Z?\z"
 _ISO = (
     r"^(?:([0-9]{4})-([0-9]{2})-([0-9]{2})(?=[^0-9]|\z)|([0-9]{4})([0-9]{2})([0-9]{2})(?=[^0-9]))"
     r"(?:.([0-9]{2})(?:(:?)([0-9]{2})(?:\8([0-9]{2})(?:[.,]([0-9]+))?)?)?"
@@ -50,14 +52,19 @@ def _iso_micros(text):
 def parse_epoch_micros(col):
     """Microseconds since 1970 (UTC) for any accepted spelling, else null.
 
-    Numbers are tried first: seconds, or milliseconds above 1e11.
+    Numbers come first: seconds, or milliseconds above 1e11. Only the two usual spellings, which no number
+    looks like, are settled before them by one pattern.
     """
-    text = stripped(col.cast("string"))
+    return bound(stripped(col.cast("string")), _text_micros)
+
+
+def _text_micros(text):
     clean = F.replace(F.replace(text, F.lit("Z"), F.lit("")), F.lit("T"), F.lit(" "))
     spaced = F.regexp_replace(F.replace(clean, F.lit("/"), F.lit("-")), r"\s+", " ")
     turned = F.regexp_replace(spaced, r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4}) ", "$3-$2-$1 ")
     return (
-        F.when(text.rlike(_NUMBER), _numeric_micros(text))
+        F.when(text.rlike(_USUAL), _plain_micros(F.rtrim(text, F.lit("Z"))))
+        .when(text.rlike(_NUMBER), _numeric_micros(text))
         .when(clean.rlike(_YEAR_FIRST), _plain_micros(spaced))
         .when(clean.rlike(_DAY_FIRST), _plain_micros(turned))
         .when(text.rlike(_ISO), _iso_micros(text))

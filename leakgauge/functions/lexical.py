@@ -10,13 +10,11 @@ from leakgauge.functions.domain import with_domain_parts
 def entropy(text):
     """Shannon entropy in bits per character; summed in order of first appearance."""
     size = F.length(text)
-
-    def add(total, char):
-        share = (size - F.length(F.replace(text, char, F.lit("")))) / size
-        return total - share * F.log2(share)
-
     chars = F.array_distinct(F.split(text, ""))
-    return F.when(size == 0, F.lit(0.0)).otherwise(F.reduce(chars, F.lit(0.0), add))
+    # Two steps, so that each share is worked out once: lambda bodies share no subexpressions.
+    shares = F.transform(chars, lambda c: (size - F.length(F.replace(text, c, F.lit("")))) / size)
+    bits = F.reduce(shares, F.lit(0.0), lambda total, p: total - p * F.log2(p))
+    return F.when(size == 0, F.lit(0.0)).otherwise(bits)
 
 
 def digit_ratio(text):

@@ -6,6 +6,7 @@ from leakgauge.contract import DataError
 from leakgauge.functions.clock import parse_epoch_micros, standard_text
 from leakgauge.functions.domain import fqdn_problem, normalize_domain, stripped
 from leakgauge.functions.net import is_valid_ip
+from leakgauge.functions.once import computed_once
 from leakgauge.operators.dedup import RAW_SIGNATURE
 from leakgauge.plans.ordered import ROWS_PER_TASK, last_known, with_running
 
@@ -16,7 +17,7 @@ def _blank(name):
 
 def with_problem(raw):
     """Add the parsed time, the normalised name and the code of the first broken rule."""
-    parsed = raw.withColumns({
+    parsed = computed_once(raw, {
         "epoch_us": parse_epoch_micros(F.col("timestamp")),
         "normal_name": normalize_domain(F.col("requested_server_name")),
     }).withColumn("__name_problem", fqdn_problem(F.col("normal_name")))
@@ -92,7 +93,7 @@ def with_timestamp_fallback(df, ingest_us, keys=("capture_id",), order=("row_id"
     Only blank times fall back; unreadable ones stay and get a problem. Carried times have the
     millisecond precision of the standard text. ``ts_fallback`` tells which rule was used.
     """
-    parsed = df.withColumn("epoch_us", parse_epoch_micros(F.col("timestamp")))
+    parsed = computed_once(df, {"epoch_us": parse_epoch_micros(F.col("timestamp"))})
     to_millis = F.col("epoch_us") - F.pmod(F.col("epoch_us"), F.lit(1000))
     carried = with_running(parsed, keys, order, limit=limit, __carried=last_known(to_millis))
     blank = _blank("timestamp")

@@ -6,6 +6,7 @@ from leakgauge.contract import CLEANED_COLUMNS, GROUP_KEYS, WINDOW_SECONDS
 from leakgauge.functions.clock import epoch_seconds, parse_epoch_micros, standard_text
 from leakgauge.functions.domain import normalize_domain, with_domain_parts
 from leakgauge.functions.lexical import with_lexical_features
+from leakgauge.functions.once import computed_once
 from leakgauge.operators.behavior import with_window_features
 from leakgauge.operators.dedup import drop_repeated_events, drop_repeated_rows
 from leakgauge.operators.validate import require_valid, with_problem
@@ -22,11 +23,14 @@ def normalized(valid):
 
 
 def parse_lenient(raw):
-    """Scoring input: names are normalised but not judged; only an unreadable time is a problem."""
-    return normalized(raw.withColumns({
-        "epoch_us": parse_epoch_micros(F.col("timestamp")),
-        "normal_name": normalize_domain(F.col("requested_server_name")),
-    })).where("epoch_us IS NOT NULL")
+    """Scoring input: names are normalised but not judged; only an unreadable time is a problem.
+
+    A table that brings exact times as ``epoch_us`` is not parsed again.
+    """
+    work = {"normal_name": normalize_domain(F.col("requested_server_name"))}
+    if "epoch_us" not in raw.columns:
+        work["epoch_us"] = parse_epoch_micros(F.col("timestamp"))
+    return normalized(computed_once(raw, work)).where("epoch_us IS NOT NULL")
 
 
 def clean(raw, deduplicate=True):

@@ -66,15 +66,19 @@ class Layout:
 
 
 def choose_layout(df, group, limit=ROWS_PER_TASK):
-    """Measure the largest group; whole groups are kept together only up to the limit."""
-    if group:
-        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    else:
-        sizes = df.agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-    if (row["largest"] or 0) <= limit:
+    """Measure the largest group; whole groups are kept together only up to the limit.
+
+    The rows are counted first, which needs no shuffle and next to no columns. Groups are counted only
+    when the table as a whole is larger than the limit.
+    """
+    total = df.count()
+    if total <= limit:
         return Layout(False)
-    return Layout(True, max(shuffle_width(df.sparkSession), 2, -(-row["total"] // limit)))
+    chunks = max(shuffle_width(df.sparkSession), 2, -(-total // limit))
+    if not group:
+        return Layout(True, chunks)
+    largest = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return Layout(largest > limit, chunks)
 
 
 def with_running(df, group, order, layout=None, limit=ROWS_PER_TASK, **values):

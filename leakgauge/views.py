@@ -20,6 +20,11 @@ def read_table(spark, sf_dir, name):
 
 def raw_queries(spark, sf_dir):
     """Query rows as text, the way a log would hold them."""
+    return typed_queries(spark, sf_dir).drop("epoch_us")
+
+
+def typed_queries(spark, sf_dir):
+    """The same rows with the exact time that the event table brings."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     size = pages.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -32,13 +37,14 @@ def raw_queries(spark, sf_dir):
         F.when(F.col("event_type") == "error", "1").otherwise("0").alias("label"),
         F.col("event_type").alias("capture_id"),
         "value",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("epoch_us"),
     )
 
 
 def scored(spark, sf_dir, threshold=0.5):
     """Parsed query rows with a score between 0 and 1 (many ties) and a prediction."""
-    raw = raw_queries(spark, sf_dir)
-    rows = canonical(raw, extra=["value"]).withColumn("score", F.col("value") / (F.col("value") + 50))
+    raw = typed_queries(spark, sf_dir)
+    rows = canonical(raw, extra=["value", "epoch_us"]).withColumn("score", F.col("value") / (F.col("value") + 50))
     return parse_lenient(rows).withColumns({
         "host_label": F.contains("requested_server_name", F.lit("-")).cast("int"),
         "prediction": (F.col("score") >= threshold).cast("int"),
