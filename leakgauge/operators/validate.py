@@ -48,10 +48,11 @@ def require_valid(raw):
     flagged = with_problem(raw)
     strict = F.when(~F.coalesce(number.isin(0.0, 1.0), F.lit(False)), F.lit("bad_label")).otherwise(F.col("problem"))
     flagged = flagged.withColumn("problem", strict)
-    bad = flagged.where("problem IS NOT NULL").select("row_id", "problem").orderBy("row_id").limit(1).collect()
-    if bad:
-        raise DataError(f"row {bad[0]['row_id']}: {bad[0]['problem']}")
-    if flagged.isEmpty():
+    first_bad = F.min(F.when(F.col("problem").isNotNull(), F.struct("row_id", "problem")))
+    found = flagged.agg(F.count(F.lit(1)).alias("rows"), first_bad.alias("bad")).first()
+    if found["bad"]:
+        raise DataError(f"row {found['bad']['row_id']}: {found['bad']['problem']}")
+    if not found["rows"]:
         raise DataError("the input has no rows")
     return flagged.drop("problem")
 

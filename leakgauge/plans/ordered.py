@@ -81,6 +81,15 @@ def choose_layout(df, group, limit=ROWS_PER_TASK):
     return Layout(largest > limit, chunks)
 
 
+def layout_if_small(source, limit=ROWS_PER_TASK):
+    """Whole groups if the source of a table has few rows (a count from file footers), else undecided.
+
+    Saves ``choose_layout`` from working out the table only to count it. The source must have at least as
+    many rows as the table.
+    """
+    return Layout(False) if source.count() <= limit else None
+
+
 def with_running(df, group, order, layout=None, limit=ROWS_PER_TASK, **values):
     """Add one column per running value.
 

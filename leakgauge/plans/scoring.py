@@ -22,14 +22,14 @@ def with_verdict(scored, threshold):
     }).withColumn("reasons", indicator_reasons())
 
 
-def batch_features(parsed, order, window_seconds):
+def batch_features(parsed, order, window_seconds, layout=None):
     """Fresh history per capture; equal times are taken in arrival order."""
-    return derive_features(parsed, ("capture_id", *GROUP_KEYS), window_seconds, order)
+    return derive_features(parsed, ("capture_id", *GROUP_KEYS), window_seconds, order, layout=layout)
 
 
-def score_batch(raw, bundle, order=("seq",)):
+def score_batch(raw, bundle, order=("seq",), layout=None):
     """Score a batch in one plan. Sort by ``order`` afterwards if the input order is wanted."""
-    features = batch_features(parse_lenient(raw), order, bundle.window_seconds)
+    features = batch_features(parse_lenient(raw), order, bundle.window_seconds, layout)
     return with_verdict(with_prediction(features, bundle.model, bundle.threshold), bundle.threshold)
 
 

@@ -15,7 +15,7 @@ from leakgauge.sources import csv, json, packets, sinks
 from leakgauge.streaming import history, live
 
 RULE = {"query_length": 22.0, "entropy": 3.5, "query_frequency": 2.0, "unique_subdomains": 2.0}
-QUICK = forest.ForestSpec(depth=5, leaf=5, trees=10)
+QUICK = forest.ForestSpec(depth=4, leaf=5, trees=5)
 THRESHOLDS = (0.3, 0.5, 0.6, 0.7, 0.9)
 HOST_POLICY = selection.Policy(max_fpr=0.2, max_domain_fpr=1.0, min_rows=20)
 
@@ -431,18 +431,22 @@ def distinct_apexes(spark, sf_dir):
 
 # ---------------------------------------------------------------- windows
 
+def window_input(spark, sf_dir):
+    return views.dns(spark, sf_dir).select("row_id", "capture_id", "src_ip", "apex_domain", "subdomain", "epoch_us")
+
+
 def window_output(df):
     return rounded(df.select("row_id", *WINDOW_FEATURES), "time_interval", places=6)
 
 
 @query
 def window_features_minute(spark, sf_dir):
-    return window_output(behavior.with_window_features(views.dns(spark, sf_dir)))
+    return window_output(behavior.with_window_features(window_input(spark, sf_dir)))
 
 
 @query
 def window_features_six_hours(spark, sf_dir):
-    return window_output(behavior.with_window_features(views.dns(spark, sf_dir), window_seconds=21600))
+    return window_output(behavior.with_window_features(window_input(spark, sf_dir), window_seconds=21600))
 
 
 @query
@@ -453,13 +457,13 @@ def window_features_with_ties(spark, sf_dir):
 
 @query
 def window_features_per_capture(spark, sf_dir):
-    return window_output(behavior.with_window_features(views.dns(spark, sf_dir), ("capture_id", *GROUP_KEYS), 86400))
+    return window_output(behavior.with_window_features(window_input(spark, sf_dir), ("capture_id", *GROUP_KEYS), 86400))
 
 
 @query
 def window_features_hot_groups(spark, sf_dir):
     """Three groups hold all rows, so the ordered-chunk plan is used."""
-    return window_output(behavior.with_window_features(views.dns(spark, sf_dir), ("apex_domain",), 21600, limit=1000))
+    return window_output(behavior.with_window_features(window_input(spark, sf_dir), ("apex_domain",), 21600, limit=1000))
 
 
 @query

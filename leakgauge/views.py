@@ -8,6 +8,7 @@ belong to whole hosts.
 from pyspark.sql import functions as F
 
 from leakgauge.plans.cleaning import derive_features, parse_lenient
+from leakgauge.plans.ordered import layout_if_small
 from leakgauge.sources.csv import canonical
 
 CLIENT = "concat('10.', (user_id div 65536) % 256, '.', (user_id div 256) % 256, '.', user_id % 256)"
@@ -56,8 +57,16 @@ def dns(spark, sf_dir):
     return scored(spark, sf_dir).drop("value", "score", "prediction")
 
 
+# What features are made from; window jobs carry every column of a row through a sort.
+NARROW = (
+    "row_id", "capture_id", "src_ip", "apex_domain", "subdomain", "epoch_us", "requested_server_name", "label",
+    "host_label", "label_count", "longest_label_length", "subdomain_length",
+)
+
+
 def features(spark, sf_dir, window_seconds=21600, **options):
-    return derive_features(dns(spark, sf_dir), window_seconds=window_seconds, **options)
+    options.setdefault("layout", layout_if_small(read_table(spark, sf_dir, "events")))
+    return derive_features(dns(spark, sf_dir).select(*NARROW), window_seconds=window_seconds, **options)
 
 
 def host_features(spark, sf_dir, window_seconds=21600):
