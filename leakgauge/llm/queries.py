@@ -1,13 +1,25 @@
 """Registered queries of this subpackage over the given tables, and their SQL where SQL can express them."""
 
-from . import mixing, recipes, shards, simhash
+from . import contamination, language, mixing, quality, recipes, shards, simhash, tokens, warc
 from .store import table
 
 
+def op1_quality_scores(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_warc_archives(spark, sf_dir):
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_groups(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_weighted_mix(spark, sf_dir):
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
@@ -20,5 +32,16 @@ def op8_exact_dedup(spark, sf_dir):
     return recipes.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_groups, op6_weighted_mix, op7_jump_shards, op8_exact_dedup)}
-ORACLES = {"op6_weighted_mix": mixing.SQL, "op8_exact_dedup": recipes.SQL}
+def op9_languages(spark, sf_dir):
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
+def op10_contamination(spark, sf_dir):
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_scores, op3_warc_archives, op4_simhash_groups, op5_token_counts, op6_weighted_mix, op7_jump_shards,
+    op8_exact_dedup, op9_languages, op10_contamination,
+)}
+ORACLES = {"op3_warc_archives": warc.SQL, "op6_weighted_mix": mixing.SQL, "op8_exact_dedup": recipes.SQL}
