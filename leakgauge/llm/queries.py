@@ -1,6 +1,6 @@
 """Registered queries of this subpackage over the given tables, and their SQL where SQL can express them."""
 
-from . import contamination, language, mixing, quality, recipes, shards, simhash, tokens, warc
+from . import contamination, language, mixing, quality, recipes, repeats, shards, simhash, tokens, warc
 from .store import table
 
 
@@ -8,6 +8,10 @@ def op1_quality_scores(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_repeat_removal(spark, sf_dir):
+    return repeats.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_archives(spark, sf_dir):
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
@@ -41,7 +45,7 @@ def op10_contamination(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_scores, op3_warc_archives, op4_simhash_groups, op5_token_counts, op6_weighted_mix, op7_jump_shards,
-    op8_exact_dedup, op9_languages, op10_contamination,
+    op1_quality_scores, op2_repeat_removal, op3_warc_archives, op4_simhash_groups, op5_token_counts, op6_weighted_mix,
+    op7_jump_shards, op8_exact_dedup, op9_languages, op10_contamination,
 )}
 ORACLES = {"op3_warc_archives": warc.SQL, "op6_weighted_mix": mixing.SQL, "op8_exact_dedup": recipes.SQL}
