@@ -21,46 +21,41 @@ LOW = (1 << 32) - 1
 FIRST_STEPS = 40
 
 
-def _plus(a, b):
-    """64-bit addition that wraps around."""
-    low = a.bitwiseAND(F.lit(LOW)) + b.bitwiseAND(F.lit(LOW))
-    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
-    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(LOW)))
-
-
-def _next(key):
-    """The generator's next state, key * MULTIPLIER + 1 modulo 2**64, from products that cannot overflow."""
-    low, high = key.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(key, 32)
-    m_low, m_high = MULTIPLIER & LOW, MULTIPLIER >> 32
-    halves = [F.lit(m & 0xFFFF) for m in (m_low, m_low >> 16, m_high, m_high >> 16)]
-    total = _plus(low * halves[0], F.shiftleft(low * halves[1], 16))
-    total = _plus(total, F.shiftleft(high * halves[0], 32))
-    total = _plus(total, F.shiftleft(high * halves[1], 48))
-    total = _plus(total, F.shiftleft(low * halves[2], 32))
-    total = _plus(total, F.shiftleft(low * halves[3], 48))
-    return _plus(total, F.lit(1).cast("long"))
+def _next(high, low):
+    """The generator's next state, key * MULTIPLIER + 1 modulo 2**64, in two halves of 32 bits. Sums of products of
+    16-bit digits stay far below 2**63."""
+    k = [low.bitwiseAND(F.lit(0xFFFF)), F.shiftright(low, 16), high.bitwiseAND(F.lit(0xFFFF)), F.shiftright(high, 16)]
+    m = [F.lit(MULTIPLIER >> 16 * i & 0xFFFF).cast("long") for i in range(4)]
+    c = [sum((k[i] * m[n - i] for i in range(1, n + 1)), k[0] * m[n]) for n in range(4)]
+    low_sum = c[0] + 1 + F.shiftleft(c[1].bitwiseAND(F.lit(0xFFFF)), 16)
+    high_sum = c[2] + F.shiftright(c[1], 16) + F.shiftleft(c[3].bitwiseAND(F.lit(0xFFFF)), 16) + F.shiftright(low_sum, 32)
+    return F.struct(high_sum.bitwiseAND(F.lit(LOW)).alias("high"), low_sum.bitwiseAND(F.lit(LOW)).alias("low"))
+
+
+def _let(value, use):
+    """`use` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def jump_shard(key, shards):
     """Shard number of a long key. Each step draws where the key would jump next as shards are appended."""
+    def step(state, _):
+        def moved(k):
+            jump = F.floor((state.jump_to + 1) * (F.lit(float(RANGE)) / (F.shiftright(k.high, 1) + 1))).cast("long")
+            return F.struct(k.alias("key"), state.jump_to.alias("shard"), jump.alias("jump_to"))
+
+        return F.when(state.jump_to < shards, _let(_next(state.key.high, state.key.low), moved)).otherwise(state)
+
     def steps(start, count):
-        def step(state, _):
-            state_key = _next(state.key)
-            jump = F.floor((state.jump_to + 1) * (F.lit(float(RANGE)) / (F.shiftrightunsigned(state_key, 33) + 1))).cast("long")
-            live = state.jump_to < shards
-            return F.struct(
-                F.when(live, state_key).otherwise(state.key).alias("key"),
-                F.when(live, state.jump_to).otherwise(state.shard).alias("shard"),
-                F.when(live, jump).otherwise(state.jump_to).alias("jump_to"),
-            )
         return F.aggregate(F.sequence(F.lit(1), F.lit(count)), start, step)
 
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.coalesce(key.cast("long"), zero).alias("key"), F.lit(-1).cast("long").alias("shard"), zero.alias("jump_to"))
+    zero, whole = F.lit(0).cast("long"), F.coalesce(key.cast("long"), F.lit(0).cast("long"))
+    halves = F.struct(F.shiftrightunsigned(whole, 32).alias("high"), whole.bitwiseAND(F.lit(LOW)).alias("low"))
+    start = F.struct(halves.alias("key"), F.lit(-1).cast("long").alias("shard"), zero.alias("jump_to"))
     first = steps(start, min(shards, FIRST_STEPS))
     if shards <= FIRST_STEPS:
         return first.shard.cast("int")
-    return F.when(first.jump_to >= shards, first.shard).otherwise(steps(first, shards - FIRST_STEPS).shard).cast("int")
+    return _let(first, lambda f: F.when(f.jump_to >= shards, f.shard).otherwise(steps(f, shards - FIRST_STEPS).shard)).cast("int")
 
 
 def placed(docs, shards=8, id_col="doc_id", text_col="text"):
@@ -78,6 +73,12 @@ def placed(docs, shards=8, id_col="doc_id", text_col="text"):
     )
 
 
+def with_shards(docs, shards=8, id_col="doc_id"):
+    """The rows of `docs` with the columns shard and grown_shard (columns of these names are replaced)."""
+    key = F.col(f"`{id_col}`")
+    return docs.withColumns({"shard": jump_shard(key, shards), "grown_shard": jump_shard(key, shards + 1)})
+
+
 def write_shards(docs, path, shards=8, id_col="doc_id"):
     """Write whole rows into one folder per shard; a shard is split over many files."""
     number = jump_shard(F.col(f"`{id_col}`"), shards)
