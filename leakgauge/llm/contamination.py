@@ -14,8 +14,10 @@ rows; other columns are ignored.
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .store import narrow
 
@@ -223,3 +225,17 @@ def contaminated(docs, benchmark, id_col="doc_id", text_col="text", item_id="ite
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
     return found
+
+
+def without_passages(docs, benchmark, text_col="text", item_id="item_id", item_text="text"):
+    """The rows of `docs` whose text holds no occurrence of any item; a filter, nothing is moved."""
+    def searcher(part):
+        @F.pandas_udf(BooleanType())
+        def clean(texts: pd.Series) -> pd.Series:
+            return pd.Series([t is None or not occurrences(part, t) for t in texts], dtype=bool)
+
+        return clean
+
+    for part in benchmark_parts(benchmark, item_id, item_text):
+        docs = docs.where(searcher(part)(F.col(f"`{text_col}`")))
+    return docs
