@@ -56,7 +56,20 @@ def verdict_text(label):
     return F.when(label == 1, "suspicious").otherwise("benign")
 
 
-def alert_id(capture, *row_key):
-    """Stable identity, so that a retried write gives the same alert."""
-    digest = F.sha2(F.concat_ws("\u001f", capture, *(k.cast("string") for k in row_key)), 256)
-    return F.concat(F.lit("alt_"), F.left(digest, F.lit(12)))
+# What names a scored row, from the outside in; a table has some of these.
+ROW_IDENTITY = ("capture_id", "request_id", "file_ord", "batch_seq", "row_id", "seq")
+SEPARATOR, NO_VALUE = "\u001f", "\u001e"
+
+
+def alert_id(*row_key):
+    """Stable identity, so that a retried write gives the same alert.
+
+    The whole digest is kept, because an alert whose id was seen is not reported; a null part counts as one.
+    """
+    parts = (F.coalesce(k.cast("string"), F.lit(NO_VALUE)) for k in row_key)
+    return F.concat(F.lit("alt_"), F.sha2(F.concat_ws(SEPARATOR, *parts), 256))
+
+
+def row_alert_id(columns):
+    """The alert id of a scored row of a table with these columns."""
+    return alert_id(*(F.col(c) for c in ROW_IDENTITY if c in columns))

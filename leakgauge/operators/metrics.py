@@ -181,21 +181,29 @@ def value_counts(df, column):
 
 
 def split_summary(df, split="split"):
-    """Rows, classes, domains and time range of each part."""
-    attack_apex = F.when(F.col("label") == 1, F.col("apex_domain"))
-    return df.groupBy(split).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("label") == 0).alias("benign"),
-        F.count_if(F.col("label") == 1).alias("attack"),
-        F.count_distinct("apex_domain").alias("apex_domains"),
-        F.count_distinct(attack_apex).alias("attack_apex_domains"),
-        F.min("epoch_us").alias("earliest_us"),
-        F.max("epoch_us").alias("latest_us"),
+    """Rows, classes, domains and time range of each part; rows collapse to one per domain first."""
+    label = F.col("label")
+    by_apex = df.groupBy(split, "apex_domain").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(label == 0).alias("n0"), F.count_if(label == 1).alias("n1"),
+        F.min("epoch_us").alias("first"), F.max("epoch_us").alias("last"),
+    )
+    return by_apex.groupBy(split).agg(
+        F.sum("n").alias("rows"), F.sum("n0").alias("benign"), F.sum("n1").alias("attack"),
+        F.count("apex_domain").alias("apex_domains"),
+        F.count(F.when(F.col("n1") > 0, F.col("apex_domain"))).alias("attack_apex_domains"),
+        F.min("first").alias("earliest_us"), F.max("last").alias("latest_us"),
     )
 
 
+def attack_domains(df, split="split"):
+    """Every attack apex of each part, sorted: a table, because a part may hold any number of them."""
+    return df.where("label = 1 AND apex_domain IS NOT NULL").select(split, "apex_domain").distinct().orderBy(split, "apex_domain")
+
+
 def distinct_counts(df, columns):
-    return df.agg(*(F.count_distinct(c).alias(f"distinct_{c}") for c in columns))
+    """One narrow count per column; several in one aggregate would copy every row once per column."""
+    counts = [df.select(c).agg(F.count_distinct(c).alias(f"distinct_{c}")) for c in columns]
+    return counts[0].select("*", *(other.scalar().alias(other.columns[0]) for other in counts[1:]))
 
 
 def traffic_statistics(scored, retained=500):

@@ -38,16 +38,20 @@ def with_problem(raw):
 def split_by_problem(flagged):
     """(good rows, bad rows with their position and reason)."""
     bad = flagged.where("problem IS NOT NULL")
-    keep = [c for c in ("capture_id", "batch_seq", "row_id", "seq") if c in flagged.columns]
+    keep = [c for c in ("capture_id", "request_id", "file_ord", "batch_seq", "row_id", "seq") if c in flagged.columns]
     return flagged.where("problem IS NULL").drop("problem"), bad.select(*keep, "problem")
 
 
-def require_valid(raw):
-    """Strict mode: any bad row fails the load. The label must be written as exactly 0 or 1."""
+def with_strict_problem(raw):
+    """As ``with_problem``, but the label must be written as exactly 0 or 1."""
     number = F.col("label_text").try_cast("double")
-    flagged = with_problem(raw)
     strict = F.when(~F.coalesce(number.isin(0.0, 1.0), F.lit(False)), F.lit("bad_label")).otherwise(F.col("problem"))
-    flagged = flagged.withColumn("problem", strict)
+    return with_problem(raw).withColumn("problem", strict)
+
+
+def require_valid(raw):
+    """Strict mode: any bad row fails the load."""
+    flagged = with_strict_problem(raw)
     first_bad = F.min(F.when(F.col("problem").isNotNull(), F.struct("row_id", "problem")))
     found = flagged.agg(F.count(F.lit(1)).alias("rows"), first_bad.alias("bad")).first()
     if found["bad"]:

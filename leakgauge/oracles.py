@@ -289,7 +289,15 @@ _add("packet_prefix_counters", DNS, PACKETS, "pf AS (SELECT * FROM pk WHERE pack
      select=packet_counters("pf", "UNION ALL SELECT 'packet_limit_reached', (SELECT (max(packet_number) > 700)::BIGINT FROM pk)"))
 _add("packet_event_table", DNS, PACKETS, select="""SELECT row_id, epoch_us, src_ip, host AS requested_server_name, '1' AS query_type, apex_domain FROM ev""")
 _add("capture_import_summary", DNS, PACKETS, select="""SELECT count(*) AS rows, count(DISTINCT apex_domain) AS distinct_apex_domains,
-  round((max(epoch_us) - min(epoch_us)) / 1e6, 6) AS time_span_seconds FROM ev""")
+  round((max(epoch_us) - min(epoch_us)) / 1e6, 6) AS time_span_seconds, (SELECT count(*) FROM pk) AS packets,
+  (SELECT count(*) FROM pk WHERE reason IS DISTINCT FROM 'non_query_packets') AS dns_query_packets,
+  (SELECT count(*) FROM pk WHERE reason = 'non_query_packets') AS non_query_packets,
+  (SELECT count(*) FROM pk WHERE reason = 'unsupported_transport') AS unsupported_transport,
+  (SELECT count(*) FROM pk WHERE reason = 'unsupported_question_or_network') AS unsupported_question_or_network,
+  (SELECT count(*) FROM pk WHERE reason = 'invalid_records') AS invalid_records,
+  (SELECT count(*) FROM pk WHERE reason IS NULL) - count(*) AS duplicate_events, count(*) AS accepted_queries FROM ev""")
+_add("capture_import_table", DNS, PACKETS, select="""SELECT (epoch_us // 1000000) || '.' || lpad((epoch_us % 1000000)::VARCHAR, 6, '0') AS timestamp, src_ip,
+  '8.8.8.8' AS dst_ip, host AS requested_server_name, '1' AS query_type, 0::INTEGER AS label, 'capture' AS source FROM ev""")
 _add("normalized_names", DNS, select=f"SELECT row_id, {kinds('host', 'host', 'host', 'host', 'host', 'host', repr(''), repr(''), value='name')} FROM dns")
 _add("fqdn_problems", DNS, select="SELECT row_id, " + kinds(
     "NULL", "'empty_name'", "'single_label'", "'empty_label@1'", "'label_too_long@0'", "'hyphen_at_edge@1'", "'hyphen_at_edge@0'",
@@ -343,7 +351,8 @@ _add("cleaned_table", DNS, DIRTY, select="""SELECT strftime(make_timestamp(epoch
   list_reduce(string_split(host, '.'), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS longest_label,
   list_max(list_transform(string_split(host, '.'), lambda l: length(l)))::INTEGER AS longest_label_length,
   length(subdomain)::INTEGER AS subdomain_length, 'A' AS query_type, label::INTEGER AS label, 'Unknown' AS source FROM kept""")
-_add("raw_duplicates_removed", DNS, DIRTY, select="SELECT row_id FROM broken WHERE copy = 1 AND TRUE")
+_add("raw_duplicates_removed", DNS, DIRTY, select="SELECT 0::INTEGER AS file_ord, row_id FROM broken WHERE copy = 1")
+_add("raw_duplicates_of_two_files", DNS, DIRTY, select="SELECT 1::INTEGER AS file_ord, source_row AS row_id FROM broken WHERE copy = 1")
 _add("strict_load", DNS, select="SELECT row_id * 2 AS row_id, epoch_us, src_ip, host AS requested_server_name, label::INTEGER AS label FROM dns")
 _add("event_duplicates_removed", DNS, select="SELECT row_id * 2 + 1 AS row_id FROM dns WHERE row_id % 10 = 0")
 _add("conflicting_events", DNS, select="SELECT row_id * 2 AS row_id, 0::INTEGER AS lowest, 1::INTEGER AS highest FROM dns WHERE row_id % 10 = 0 AND (row_id * 2 + 1) % 200 = 1")
@@ -428,6 +437,7 @@ _add("label_distribution", DNS, select="SELECT label::INTEGER AS label, count(*)
 _add("split_summary", DNS, select="""SELECT capture_id, count(*) AS rows, count(*) FILTER (label = 0) AS benign, count(*) FILTER (label = 1) AS attack,
   count(DISTINCT apex_domain) AS apex_domains, count(DISTINCT apex_domain) FILTER (label = 1) AS attack_apex_domains, min(epoch_us) AS earliest_us,
   max(epoch_us) AS latest_us FROM dns GROUP BY ALL""")
+_add("attack_domains", DNS, select="SELECT DISTINCT capture_id, host AS apex_domain FROM dns WHERE host_label = 1")
 _add("distinct_counts", DNS, select="""SELECT count(DISTINCT host) AS distinct_requested_server_name, count(DISTINCT src_ip) AS distinct_src_ip,
   count(DISTINCT dst_ip) AS distinct_dst_ip, count(DISTINCT apex_domain) AS distinct_apex_domain FROM dns""")
 _add("traffic_statistics", DNS, predicted(0.5), select="""SELECT count(*) AS total_processed, count(*) FILTER (prediction = 1) AS total_suspicious,
@@ -463,14 +473,21 @@ _add("incomplete_histories", DNS, """ev AS (SELECT row_id, host FROM dns WHERE h
   src AS (SELECT row_id FROM dns WHERE row_id % 13 <> 0 AND host IN (SELECT host FROM ev))""",
      select="""SELECT row_id, 'not_evaluated' AS problem FROM src WHERE row_id NOT IN (SELECT row_id FROM ev)
   UNION ALL SELECT row_id, 'not_in_source' FROM ev WHERE row_id NOT IN (SELECT row_id FROM src)""")
-_add("new_alerts", DNS, select="SELECT row_id AS alert_id, host AS requested_server_name FROM dns WHERE score >= 0.7::DOUBLE AND row_id % 3 <> 0")
+REQUESTS = """
+rq AS (SELECT * REPLACE (coalesce(CASE WHEN row_id // 1000 % 3 > 0 THEN 'shared' END, 'batch_' || sha256('requests.json#' || row_id // 1000)) AS capture_id),
+  'requests.json#' || row_id // 1000 AS request_id, row_id % 1000 AS seq FROM dns)"""
+_add("new_alerts", DNS, REQUESTS, select="""SELECT 'alt_' || sha256(concat_ws(chr(31), capture_id, request_id, seq)) AS alert_id, request_id, seq,
+  host AS requested_server_name FROM rq WHERE score >= 0.7::DOUBLE AND request_id NOT IN ('requests.json#0', 'requests.json#3')""")
+_add("request_histories", DNS, REQUESTS, windows(86400, "request_id, apex_domain", "rq", "seq"),
+     select="SELECT request_id, seq, query_frequency, unique_subdomains, round(time_interval, 6) AS time_interval FROM win")
 
 _add("stratified_split", DNS, shuffled("dns"), select="SELECT row_id, label::INTEGER AS label, split FROM parted")
 _add("domain_folds", DNS, HOST, folds(3), select="SELECT apex_domain, benign, attack, rows, majority::INTEGER AS majority, fold FROM fold_map")
 _add("domain_split", DNS, HOST, folds(5), select="""SELECT row_id AS input_row_id,
   CASE fold WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split, apex_domain FROM hosts JOIN fold_map USING (apex_domain)""")
 _add("candidate_thresholds", *HOST_FEATURES, shuffled("hf"), CANDIDATES, select="SELECT feature, threshold, place, tp, fp, round(f1, 9) AS f1 FROM chosen")
-_add("selected_thresholds", *HOST_FEATURES, shuffled("hf"), CANDIDATES, GRID, select=f"SELECT tp, tn, fp, fn, {ROUND_RATES} FROM best")
+_add("selected_thresholds", *HOST_FEATURES, shuffled("hf"), CANDIDATES, GRID, select=f"""SELECT t1::DOUBLE AS t_query_length,
+  t2::DOUBLE AS t_entropy, t3::DOUBLE AS t_query_frequency, t4::DOUBLE AS t_unique_subdomains, votes::INTEGER AS votes, tp, tn, fp, fn, {ROUND_RATES} FROM best""")
 _add("rule_evaluation", *HOST_FEATURES, shuffled("hf"), CANDIDATES, GRID, f"""
   judged AS (SELECT label, ((query_length >= t1)::INTEGER + (entropy >= t2)::INTEGER + (query_frequency >= t3)::INTEGER + (unique_subdomains >= t4)::INTEGER >= votes)::INTEGER AS prediction
     FROM parted, best WHERE split = 'test'), cm AS (SELECT {confusion()} FROM judged)""", rates("cm"),
@@ -505,7 +522,7 @@ _add("timing_sweep", DNS, """gaps AS (SELECT unnest([1, 50, 20000, 60000, 90000]
 _add("detector_comparison", *features(), f"""both_d AS (SELECT 'rule' AS detector, label, (({flags()}) >= 3)::INTEGER AS prediction FROM win
     UNION ALL SELECT 'model', label, (score >= 0.7::DOUBLE)::INTEGER FROM win), cm AS (SELECT detector, {confusion()} FROM both_d GROUP BY ALL)""", rates("cm"),
      select=f"SELECT detector, tp, tn, fp, fn, {ROUND_RATES} FROM rated")
-_add("alert_table", DNS, lexical(), windows(21600, source="lex"), select="""SELECT 'alt_' || left(sha256(concat_ws(chr(31), capture_id, row_id)), 12) AS alert_id, row_id,
+_add("alert_table", DNS, lexical(), windows(21600, source="lex"), select="""SELECT 'alt_' || sha256(concat_ws(chr(31), capture_id, row_id)) AS alert_id, row_id,
   strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS timestamp, host AS requested_server_name, src_ip, 'CRITICAL' AS risk_label, round(score, 9) AS attack_score, capture_id,
   ((query_length >= 52)::INTEGER + (entropy >= 4.309101::DOUBLE)::INTEGER + (query_frequency >= 41)::INTEGER + (unique_subdomains >= 41)::INTEGER)::INTEGER AS agreeing_indicators_count
   FROM win WHERE score >= 0.8::DOUBLE""")
@@ -519,3 +536,21 @@ _add("live_totals", DNS, predicted(0.5), select="""SELECT capture_id, count(*) A
 _add("alert_digest", DNS, "al AS (SELECT * FROM dns WHERE score >= 0.7::DOUBLE)", select="""SELECT count(*) AS alerts,
   (SELECT string_agg(apex_domain, ',' ORDER BY m) FROM (SELECT apex_domain, min(row_id) AS m FROM al GROUP BY ALL ORDER BY m LIMIT 3)) AS domains,
   (SELECT string_agg(src_ip, ',' ORDER BY m) FROM (SELECT src_ip, min(row_id) AS m FROM al GROUP BY ALL ORDER BY m LIMIT 3)) AS hosts FROM al""")
+
+_add("forest_scores", DNS, select="SELECT row_id, host_label::INTEGER AS label, true AS is_probability, true AS decision_fits FROM dns")
+ORACLES["forest_importances"] = "SELECT 10::BIGINT AS features, 10::INTEGER AS last_rank, 1.0::DOUBLE AS total, true AS none_negative"
+TOTALS = "count(*) FILTER (label = 1) AS attacks, count(*) FILTER (label = 0) AS benign"
+_add("forest_selection", DNS, HOST, shuffled("hosts"), select=f"""SELECT c::INTEGER AS candidate, threshold, {TOTALS}
+  FROM parted, (SELECT unnest([0, 1]) AS c), (SELECT unnest([0.3, 0.5, 0.7]::DOUBLE[]) AS threshold) WHERE split = 'validation' GROUP BY ALL""")
+_add("group_selection", DNS, HOST, folds(3), f"""sizes AS (SELECT fold, count(*) AS rows FROM hosts JOIN fold_map USING (apex_domain) GROUP BY ALL),
+  whole AS (SELECT {TOTALS} FROM hosts)""", select="""SELECT 1::INTEGER AS trial_id, threshold, attacks, benign, fold, s.rows AS rows
+  FROM whole, sizes s, (SELECT unnest([0.3, 0.5, 0.6, 0.7, 0.9]::DOUBLE[]) AS threshold)""")
+_add("nested_evaluation", DNS, HOST, folds(2), select="""SELECT row_id AS input_row_id, apex_domain, label::INTEGER AS label, fold AS outer_fold,
+  true AS is_probability FROM hosts JOIN fold_map USING (apex_domain)""")
+_add("held_out_experiment", DNS, HOST, folds(3), f"""held AS (SELECT * FROM hosts JOIN fold_map USING (apex_domain) WHERE fold = 1),
+  big AS (SELECT apex_domain FROM held GROUP BY ALL ORDER BY count(*) DESC, apex_domain LIMIT 1),
+  scoped AS (SELECT 'pooled' AS scope, label FROM held UNION ALL SELECT 'big_domain', label FROM held WHERE apex_domain = (FROM big))""",
+     select=f"SELECT scope, model, {TOTALS} FROM scoped, (SELECT unnest(['before', 'after']) AS model) GROUP BY ALL")
+_add("replay_checks", DNS, select="""SELECT count(*) AS rows, true AS labels_identical, true AS predictions_identical, true AS scores_identical,
+  true AS complete_histories FROM dns""")
+_add("batch_scores", DNS, select="SELECT row_id AS seq, true AS tier_fits, true AS verdict_fits, true AS alert_fits FROM dns")

@@ -2,14 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from leakgauge.contract import CLEANED_COLUMNS, GROUP_KEYS, WINDOW_SECONDS
+from leakgauge.contract import CLEANED_COLUMNS, GROUP_KEYS, WINDOW_SECONDS, DataError
 from leakgauge.functions.clock import epoch_seconds, parse_epoch_micros, standard_text
 from leakgauge.functions.domain import normalize_domain, with_domain_parts
 from leakgauge.functions.lexical import with_lexical_features
 from leakgauge.functions.once import computed_once
 from leakgauge.operators.behavior import with_window_features
 from leakgauge.operators.dedup import drop_repeated_events, drop_repeated_rows
-from leakgauge.operators.validate import require_valid, with_problem
+from leakgauge.operators.validate import with_problem, with_strict_problem
 from leakgauge.plans.ordered import ROWS_PER_TASK
 
 
@@ -46,8 +46,14 @@ def chronological(cleaned):
 
 
 def load_strict(raw):
-    """Model input: every row must be valid, repeated events are dropped, conflicting ones refused."""
-    return drop_repeated_events(normalized(require_valid(raw)))
+    """Model input: every row must be valid, repeated events are dropped, conflicting ones refused.
+
+    One pass over narrow columns finds whatever speaks against the load, a second one delivers the rows.
+    """
+    if raw.isEmpty():
+        raise DataError("the input has no rows")
+    named = with_strict_problem(raw).withColumn("requested_server_name", F.col("normal_name"))
+    return normalized(drop_repeated_events(named, "problem").drop("problem"))
 
 
 def cleaned_table(cleaned):

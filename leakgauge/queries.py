@@ -15,6 +15,9 @@ from leakgauge.sources import csv, json, packets, sinks
 from leakgauge.streaming import history, live
 
 RULE = {"query_length": 22.0, "entropy": 3.5, "query_frequency": 2.0, "unique_subdomains": 2.0}
+PUBLISHED = forest.ForestSpec(depth=12, leaf=5, trees=150)
+# Selection queries show the course of a selection: small forests, few thresholds, two or three folds. Their answers
+# are what SQL can know of it (which rows are scored where, and class totals); operators take any grid.
 QUICK = forest.ForestSpec(depth=4, leaf=5, trees=5)
 THRESHOLDS = (0.3, 0.5, 0.6, 0.7, 0.9)
 HOST_POLICY = selection.Policy(max_fpr=0.2, max_domain_fpr=1.0, min_rows=20)
@@ -126,8 +129,15 @@ def packet_event_table(spark, sf_dir):
 
 @query
 def capture_import_summary(spark, sf_dir):
-    events = packets.packet_events(decoded_packets(spark, sf_dir), "capture")
-    return rounded(packets.import_summary(events), "time_span_seconds", places=6)
+    decoded = decoded_packets(spark, sf_dir)
+    summary = packets.import_summary(packets.packet_events(decoded, "capture"), packets.packet_counts(decoded))
+    return rounded(summary, "time_span_seconds", places=6)
+
+
+@query
+def capture_import_table(spark, sf_dir):
+    """The canonical table of an import, times printed in full."""
+    return packets.import_table(packets.packet_events(decoded_packets(spark, sf_dir), "capture"))
 
 
 # ---------------------------------------------------------------- columns
@@ -336,6 +346,15 @@ def raw_duplicates_removed(spark, sf_dir):
     return dedup.removed_ids(raw, dedup.drop_repeated_rows(raw))
 
 
+@query
+def raw_duplicates_of_two_files(spark, sf_dir):
+    """Copies lie in a second file whose row numbers start again."""
+    raw = dirty(spark, sf_dir).withColumns({
+        "file_ord": (F.col("row_id") % 2).cast("int"), "row_id": F.expr("row_id div 2"),
+    })
+    return dedup.removed_ids(raw, dedup.drop_repeated_rows(raw))
+
+
 def repeated_events(spark, sf_dir):
     """Valid rows, each tenth written a second time with another spelling of the name."""
     raw = views.raw_queries(spark, sf_dir)
@@ -435,8 +454,8 @@ def window_input(spark, sf_dir):
     return views.dns(spark, sf_dir).select("row_id", "capture_id", "src_ip", "apex_domain", "subdomain", "epoch_us")
 
 
-def window_output(df):
-    return rounded(df.select("row_id", *WINDOW_FEATURES), "time_interval", places=6)
+def window_output(df, *key):
+    return rounded(df.select(*(key or ["row_id"]), *WINDOW_FEATURES), "time_interval", places=6)
 
 
 @query
@@ -560,6 +579,11 @@ def split_summary(spark, sf_dir):
     return metrics.split_summary(views.dns(spark, sf_dir), "capture_id")
 
 
+@query
+def attack_domains(spark, sf_dir):
+    return metrics.attack_domains(by_host(views.dns(spark, sf_dir)), "capture_id")
+
+
 @query
 def distinct_counts(spark, sf_dir):
     return metrics.distinct_counts(views.dns(spark, sf_dir), ["requested_server_name", "src_ip", "dst_ip", "apex_domain"])
@@ -675,11 +699,30 @@ def incomplete_histories(spark, sf_dir):
     return links.incomplete_histories(evaluated, source, "requested_server_name")
 
 
+def requests(spark, sf_dir):
+    """Scored rows as requests of a thousand: two of three under one capture, every third under none."""
+    rows = views.scored(spark, sf_dir, 0.7).withColumns({
+        "request_id": F.concat(F.lit("requests.json#"), F.expr("row_id div 1000").cast("string")),
+        "capture_id": F.when(F.expr("row_id div 1000") % 3 > 0, "shared"), "seq": F.col("row_id") % 1000,
+    }).drop("row_id")
+    return json.with_own_capture(rows)
+
+
 @query
 def new_alerts(spark, sf_dir):
-    alerts = views.scored(spark, sf_dir, 0.7).where("prediction = 1").withColumn("alert_id", F.col("row_id"))
-    seen = alerts.where("row_id % 3 = 0").select("alert_id")
-    return links.new_alerts(alerts.select("alert_id", "requested_server_name"), seen)
+    """Alerts of several requests under their real ids; those of the first requests were reported before."""
+    alerts = requests(spark, sf_dir).where("prediction = 1")
+    named = alerts.select(verdict.row_alert_id(alerts.columns).alias("alert_id"), "request_id", "seq", "requested_server_name")
+    seen = named.where("request_id IN ('requests.json#0', 'requests.json#3')").select("alert_id")
+    return links.new_alerts(named, seen)
+
+
+@query
+def request_histories(spark, sf_dir):
+    """Window features of requests, each with a history of its own although two of three share a capture."""
+    rows = requests(spark, sf_dir)
+    keys = (*scoring.history_keys(rows.columns), "apex_domain")
+    return window_output(behavior.with_window_features(rows, keys, 86400, ("seq",)), "request_id", "seq")
 
 
 # ---------------------------------------------------------------- splits, rules, models
@@ -718,8 +761,7 @@ def candidate_thresholds(spark, sf_dir):
 @query
 def selected_thresholds(spark, sf_dir):
     train, validation, _ = split_features(spark, sf_dir)
-    best = rules.select_thresholds(train, validation).drop("trial_id", "votes", *(f"t_{n}" for n in RULE))
-    return rounded(best, *RATES)
+    return rounded(rules.select_thresholds(train, validation).drop("trial_id"), *RATES)
 
 
 @query
@@ -760,28 +802,44 @@ def policy_trials(spark, sf_dir):
 
 @query
 def forest_scores(spark, sf_dir):
+    """Every row scored by a forest of the published size; scores are probabilities, decisions fit them."""
     rows = views.host_features(spark, sf_dir)
-    model = forest.fit_forest(forest.model_input(rows), QUICK)
-    return forest.with_prediction(rows, model, 0.5).select("row_id", "label", "score", "prediction")
+    model = forest.fit_forest(forest.model_input(rows), PUBLISHED)
+    return forest.with_prediction(rows, model, 0.5).select(
+        "row_id", "label", F.col("score").between(0, 1).alias("is_probability"),
+        (F.col("prediction") == (F.col("score") >= 0.5).cast("int")).alias("decision_fits"),
+    )
 
 
 @query
 def forest_importances(spark, sf_dir):
+    """Ten importances that are not negative and add up to one; their values depend on the library's trees."""
     rows = views.host_features(spark, sf_dir)
-    return forest.importances(spark, forest.fit_forest(forest.model_input(rows), QUICK))
+    ranked = forest.importances(spark, forest.fit_forest(forest.model_input(rows), QUICK))
+    return ranked.agg(
+        F.count_distinct("feature").alias("features"), F.max("rank").alias("last_rank"), F.round(F.sum("importance"), 6).alias("total"),
+        F.bool_and(F.col("importance") >= 0).alias("none_negative"),
+    )
 
 
 @query
 def forest_selection(spark, sf_dir):
     train, validation, _ = split_features(spark, sf_dir)
     specs = [QUICK, forest.ForestSpec(depth=3, leaf=5, balanced=True, trees=10)]
-    return selection.select_by_validation(train, validation, specs)[3]
+    trials = selection.select_by_validation(train, validation, specs)[3]
+    return trials.select("candidate", "threshold", *class_totals())
+
+
+def class_totals():
+    return (F.col("tp") + F.col("fn")).alias("attacks"), (F.col("tn") + F.col("fp")).alias("benign")
 
 
 @query
 def group_selection(spark, sf_dir):
     selected = selection.select_by_groups(views.host_features(spark, sf_dir), [QUICK], 3, policy=HOST_POLICY, thresholds=THRESHOLDS)
-    return selected.trials
+    folds_of_trials = selected.scores.groupBy("trial_id", "fold").agg(F.count_distinct("row_id").alias("rows"))
+    by_trial = selected.trials.select("trial_id", "threshold", *class_totals())
+    return by_trial.join(folds_of_trials, "trial_id")
 
 
 @query
@@ -789,7 +847,9 @@ def nested_evaluation(spark, sf_dir):
     predicted, _ = selection.nested_evaluation(
         views.host_features(spark, sf_dir), [QUICK], outer=2, inner=2, policy=HOST_POLICY, thresholds=THRESHOLDS
     )
-    return sinks.prediction_table(predicted, ["outer_fold"])
+    table = sinks.prediction_table(predicted, ["outer_fold"])
+    in_range = F.col("attack_probability").between(0, 1)
+    return table.select("input_row_id", "apex_domain", "label", "outer_fold", in_range.alias("is_probability"))
 
 
 def stored_allocation(rows, folds=3):
@@ -812,11 +872,13 @@ def held_out_experiment(spark, sf_dir):
     rows = by_host(views.dns(spark, sf_dir)).drop("capture_id")
     allocation = stored_allocation(rows)
     extra = links.exclude_domains(rows.where("label = 0"), allocation.where("outer_fold = 1"))
+    held_out = allocation.where("outer_fold = 1").groupBy("apex_domain").agg(F.count(F.lit(1)).alias("n"))
+    big = held_out.orderBy(F.desc("n"), "apex_domain").first()["apex_domain"]
     result = experiments.held_out_experiment(
-        rows, allocation, 1, {"second_network": ("benign", extra)}, "none", specs=[QUICK], folds=2,
+        rows, allocation, 1, {"second_network": ("benign", extra)}, big, must_include=big, specs=[QUICK], folds=2,
         policy=HOST_POLICY, thresholds=THRESHOLDS,
     )
-    return result["metrics"]
+    return result["metrics"].select("scope", "model", *class_totals())
 
 
 @query
@@ -851,7 +913,12 @@ def batch_scores(spark, sf_dir):
     rows = views.host_features(spark, sf_dir)
     bundle = forest.Bundle(forest.fit_forest(forest.model_input(rows), QUICK), 0.5, 21600.0)
     raw = csv.canonical(views.raw_queries(spark, sf_dir)).withColumnRenamed("row_id", "seq")
-    return scoring.score_batch(raw, bundle).select("seq", "verdict", "risk_label", "score", "alert_id")
+    scored = scoring.score_batch(raw, bundle)
+    tier = F.when(F.col("score") >= 0.5, "CRITICAL").otherwise("LOW")
+    return scored.select(
+        "seq", (F.col("risk_label") == tier).alias("tier_fits"), ((F.col("verdict") == "suspicious") == (F.col("score") >= 0.5)).alias("verdict_fits"),
+        (F.col("alert_id").isNotNull() == (F.col("prediction") == 1)).alias("alert_fits"),
+    )
 
 
 @query

@@ -104,7 +104,7 @@ def upload_columns(df):
         return F.when(value == "", default).otherwise(value)
 
     return df.select(
-        *(F.col(c) for c in ("row_id", "capture_id") if c in df.columns),
+        *(F.col(c) for c in ("row_id", "capture_id", "request_id") if c in df.columns),
         text("timestamp").alias("timestamp"),
         *(text(c, UPLOAD_DEFAULTS[c]).alias(c) for c in ("src_ip", "dst_ip")),
         text(name).alias("requested_server_name"),
@@ -114,7 +114,7 @@ def upload_columns(df):
 
 def read_upload(spark, path, capture_id, **options):
     scan = with_row_numbers(_scan(spark, path, **options))
-    return upload_columns(scan.withColumn("capture_id", F.lit(capture_id)))
+    return upload_columns(scan.withColumns({"capture_id": F.lit(capture_id), "request_id": F.lit(path)}))
 
 
 def has_rule_features(df):

@@ -1,6 +1,7 @@
 """JSON scans: query batches, sensor streams and stored reports."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leakgauge.contract import BATCH_SCHEMA, SENSOR_SCHEMA
 
@@ -23,7 +24,21 @@ def explode_batches(batches):
 
 
 def read_batches(spark, path):
-    return explode_batches(spark.read.schema(BATCH_SCHEMA).option("multiLine", True).json(path))
+    """Stored requests: each file holds one or a list of them. ``request_id`` is the file and the place in it, so that
+    no two requests share a history or an alert; a request that names no capture is one of its own."""
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.from_json("value", T.ArrayType(BATCH_SCHEMA), {"mode": "FAILFAST"}).alias("requests"),
+    )
+    requests = files.select("file", F.posexplode("requests").alias("place", "r")).select(
+        F.concat_ws("#", "file", F.col("place").cast("string")).alias("request_id"), "r.*")
+    return explode_batches(with_own_capture(requests))
+
+
+def with_own_capture(requests):
+    """Requests without a capture get one made from their id."""
+    own = F.concat(F.lit("batch_"), F.sha2("request_id", 256))
+    return requests.withColumn("capture_id", F.coalesce("capture_id", own))
 
 
 def sensor_stream(spark, path, files_per_trigger=None):

@@ -7,6 +7,8 @@ from leakgauge.functions.net import is_valid_ip
 from leakgauge.operators.dedup import keep_first
 
 PREFIX_REACHED = "packet_limit_reached"
+REASONS = ("non_query_packets", "unsupported_transport", "unsupported_question_or_network", "invalid_records")
+COUNTERS = ("packets", "dns_query_packets", *REASONS, "duplicate_events", "accepted_queries")
 EVENT_KEY = ("epoch_us", "src_ip", "dst_ip", "requested_server_name", "query_type")
 
 
@@ -45,7 +47,7 @@ def packet_events(packets, source, label=0, max_packets=None):
         F.lit(label).alias("label"),
         F.lit(source).alias("source"),
     )
-    return with_domain_parts(keep_first(events, EVENT_KEY, ["row_id"]))
+    return with_domain_parts(keep_first(events, EVENT_KEY))
 
 
 def packet_counts(packets, max_packets=None):
@@ -66,7 +68,7 @@ def packet_counts(packets, max_packets=None):
         F.coalesce(F.sum(F.when(F.col("reason") != "non_query_packets", F.col("n"))), F.lit(0)).alias("dns_query_packets"),
         *(
             F.coalesce(F.sum(F.when(F.col("reason") == r, F.col("n"))), F.lit(0)).alias(r)
-            for r in ("non_query_packets", "unsupported_transport", "unsupported_question_or_network", "invalid_records")
+            for r in REASONS
         ),
         F.coalesce(F.sum(F.when(F.col("reason") == "usable", F.col("n") - F.col("events"))), F.lit(0)).alias("duplicate_events"),
         F.coalesce(F.sum("events"), F.lit(0)).alias("accepted_queries"),
@@ -78,19 +80,24 @@ def packet_counts(packets, max_packets=None):
 
 
 def import_table(events):
-    """The published seven columns; the time is printed as full-precision epoch text."""
+    """The published seven columns; the time is printed as epoch seconds with six decimals."""
     return events.select(
-        (F.col("epoch_us") / 1e6).cast("string").alias("timestamp"),
+        (F.col("epoch_us").cast("decimal(20,0)") / 1_000_000).cast("decimal(20,6)").cast("string").alias("timestamp"),
         "src_ip", "dst_ip", "requested_server_name", "query_type", "label", "source",
     )
 
 
-def import_summary(events):
-    return events.agg(
+def import_summary(events, counts=None):
+    """Rows, domains and time span of the imported events, with the packet counters of the import if given."""
+    summary = events.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct("apex_domain").alias("distinct_apex_domains"),
         ((F.max("epoch_us") - F.min("epoch_us")) / 1e6).alias("time_span_seconds"),
     )
+    if counts is None:
+        return summary
+    wide = counts.groupBy().pivot("counter", list(COUNTERS)).agg(F.first("packets"))
+    return summary.crossJoin(wide)  # one row by one row
 
 
 __all__ = [

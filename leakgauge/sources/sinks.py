@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from leakgauge.contract import MODEL_FEATURES, PREDICTION_SCHEMA, DataError
 from leakgauge.functions.clock import printed_seconds
 from leakgauge.functions.domain import flatten_labels
-from leakgauge.functions.verdict import alert_id, risk_tier, rule_indicators
+from leakgauge.functions.verdict import ROW_IDENTITY, risk_tier, row_alert_id, rule_indicators
 from leakgauge.plans.cleaning import cleaned_table
 
 MODE = "errorifexists"
@@ -71,17 +71,16 @@ def write_report(report, path):
 
 def alert_rows(scored, threshold, columns=None):
     """Alerts of flagged rows, with an id that a repeated run reproduces."""
-    key = [F.col(c) for c in ("batch_seq", "row_id", "seq") if c in scored.columns]
     capture = F.coalesce("alert_capture_id", "capture_id") if "alert_capture_id" in scored.columns else F.col("capture_id")
     return scored.where("prediction = 1").select(
-        alert_id(F.col("capture_id"), *key).alias("alert_id"),
+        row_alert_id(scored.columns).alias("alert_id"),
         "timestamp", "requested_server_name", "src_ip", "dst_ip",
         risk_tier(F.col("score"), threshold).alias("risk_label"),
         F.col("score").alias("attack_score"),
         F.lit(float(threshold)).alias("decision_threshold"),
         rule_indicators(columns=columns).alias("rule_indicators"),
         capture.alias("capture_id"),
-        *(c for c in ("batch_seq", "row_id", "seq") if c in scored.columns),
+        *(c for c in ROW_IDENTITY[1:] if c in scored.columns),
     )
 
 
@@ -89,9 +88,10 @@ def append_alerts(alerts, path):
     alerts.write.mode("append").parquet(path)
 
 
-def import_capture(events, path, summary_path):
-    """Canonical capture table and its one-row summary."""
-    from leakgauge.sources.packets import import_summary, import_table
+def import_capture(packets, source, path, summary_path, max_packets=None):
+    """Canonical capture table, and its one-row summary with the packet counters."""
+    from leakgauge.sources.packets import import_summary, import_table, packet_counts, packet_events
 
+    events = packet_events(packets, source, max_packets=max_packets)
     import_table(events).write.mode(MODE).option("header", True).csv(path)
-    import_summary(events).write.mode(MODE).json(summary_path)
+    import_summary(events, packet_counts(packets, max_packets)).write.mode(MODE).json(summary_path)

@@ -219,7 +219,7 @@ def test_rule_votes(spark):
 def test_alert_ids_are_stable(spark):
     df = spark.createDataFrame([("c", 1), ("c", 2), ("c", 1)], "c string, i int")
     a, b, again = [r[0] for r in df.select(verdict.alert_id(F.col("c"), F.col("i"))).collect()]
-    assert a == again != b and a.startswith("alt_") and len(a) == 16
+    assert a == again != b and a.startswith("alt_") and len(a) == 4 + 64
 
 
 def test_forbidden_inputs():
