@@ -149,6 +149,7 @@ def select_by_groups(features, specs=None, folds=3, seed=42, policy=Policy(), th
     The prepared rows are kept (memory, then disk) because every fit reads them again.
     """
     specs = specs or regular_grid(seed=seed)
+    own = features.storageLevel == StorageLevel.NONE
     features = features.persist(StorageLevel.MEMORY_AND_DISK)
     fold_map = require_both_classes(domain_folds(features, folds, seed))
     rows = require_disjoint(with_fold(model_input(features), fold_map), "fold")
@@ -156,6 +157,9 @@ def select_by_groups(features, specs=None, folds=3, seed=42, policy=Policy(), th
     scores = out_of_fold_scores(rows, specs, folds).persist(StorageLevel.MEMORY_AND_DISK)
     trials = policy_trials(scores, policy, thresholds)
     best = best_policy_trial(trials)
+    rows.unpersist()
+    if own:
+        features.unpersist()
     return Selected(specs[best["trial_id"] - 1], best["threshold"], best, trials, scores)
 
 

@@ -23,6 +23,15 @@ def scored_stream(raw, bundle, late="reject", ttl_ms=None):
     return with_lexical_features(history), parsed.where("problem IS NOT NULL")
 
 
+def live_rows(raw, bundle, late="reject", ttl_ms=None):
+    """One stream of everything that arrives, so that a batch's answer is complete: status 'accepted', 'rejected' (late)
+    or 'unreadable', with the code in ``error`` where a row is not accepted."""
+    readable, unreadable = scored_stream(raw, bundle, late, ttl_ms)
+    late_code = F.when(F.col("status") == "rejected", LATE)
+    bad = unreadable.withColumns({"status": F.lit("unreadable"), "error": F.col("problem")})
+    return readable.withColumn("error", late_code).unionByName(bad, allowMissingColumns=True)
+
+
 def score_micro_batch(rows, bundle):
     """Accepted rows of one micro-batch with score and verdict."""
     return with_verdict(
@@ -30,10 +39,11 @@ def score_micro_batch(rows, bundle):
     )
 
 
-def ingest_writer(bundle, alerts_path, counts_path):
-    """A foreachBatch function: alerts and counts of each micro-batch, written once per batch number.
+def ingest_writer(bundle, alerts_path, counts_path, errors_path=None):
+    """A foreachBatch function for ``live_rows``: alerts, counts and first errors of each micro-batch, written once per
+    batch number. ``rejected`` counts late and unreadable rows.
 
-    Both tables are partitioned by batch, and a repeated batch overwrites its own partition, so a restart
+    The tables are partitioned by batch, and a repeated batch overwrites its own partition, so a restart
     after a lost driver or executor adds nothing twice.
     """
     def write(rows, batch_id):
@@ -42,10 +52,13 @@ def ingest_writer(bundle, alerts_path, counts_path):
         counts = scored.groupBy("capture_id").agg(
             F.count(F.lit(1)).alias("accepted"), F.count_if(F.col("prediction") == 1).alias("suspicious")
         )
-        rejected = rows.where("status = 'rejected'").groupBy("capture_id").agg(F.count(F.lit(1)).alias("rejected"))
+        rejected = rows.where("status <> 'accepted'").groupBy("capture_id").agg(
+            F.count(F.lit(1)).alias("rejected"), F.count_if(F.col("status") == "unreadable").alias("unreadable"))
         per_capture = counts.join(rejected, "capture_id", "full_outer").fillna(0)
         _put(per_capture, counts_path, batch_id)
         _put(alert_rows(scored, bundle.threshold, scored.columns), alerts_path, batch_id)
+        if errors_path:
+            _put(first_errors(rows), errors_path, batch_id)
         scored.unpersist()
         rows.unpersist()
 
@@ -78,6 +91,12 @@ def rejection_sample(rejected, unreadable, count=ERROR_SAMPLE):
     return first.unionByName(late).orderBy("kind", "seq").limit(count)
 
 
+def first_errors(rows, count=ERROR_SAMPLE):
+    """The first errors of a batch of ``live_rows``: unreadable rows, then late ones."""
+    bad = rows.where("status <> 'accepted'").withColumn("kind", (F.col("status") != "unreadable").cast("int"))
+    return bad.select("capture_id", "batch_seq", "seq", "kind", "error").orderBy("kind", "batch_seq", "seq").limit(count)
+
+
 def alert_digest(fresh, order="alert_seq", shown=3):
     """Number of alerts, and the first few distinct base domains and hosts among them (oldest first)."""
     def first_values(value):
@@ -90,26 +109,33 @@ def alert_digest(fresh, order="alert_seq", shown=3):
     })
 
 
-def digest_writer(seen_path, publish, primed):
+SEEN = "alert_id string, batch_id bigint"
+
+
+def digest_writer(seen_path, publish, primed, keep_batches=None):
     """A foreachBatch function that reports alerts not seen before.
 
-    With ``primed`` false the first batch is only recorded, so that connecting to a busy table is silent.
+    With ``primed`` false the very first batch is only recorded, so that connecting to a busy table is silent. Whether
+    a batch is the first is read from the table of seen alerts (each batch leaves a mark there), so a restart reports
+    what arrived meanwhile. With ``keep_batches`` only the alerts of that many batches before count as seen; as the
+    table is partitioned by batch, older ones are not read.
     """
-    state = {"primed": primed}
-
     def write(alerts, batch_id):
         spark = alerts.sparkSession
         try:
-            seen = spark.read.parquet(seen_path).where(F.col("batch_id") < batch_id)
+            seen = spark.read.schema(SEEN).parquet(seen_path).where(F.col("batch_id") < batch_id)
         except Exception as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-            seen = spark.createDataFrame([], "alert_id string, batch_id bigint")
+            seen = spark.createDataFrame([], SEEN)
+        first = seen.isEmpty()
+        if keep_batches is not None:
+            seen = seen.where(F.col("batch_id") >= batch_id - keep_batches)
         fresh = new_alerts(alerts, seen).persist()
-        if state["primed"] and not fresh.isEmpty():
+        if (primed or not first) and not fresh.isEmpty():
             publish(alert_digest(fresh), batch_id)
-        _put(fresh.select("alert_id"), seen_path, batch_id)
-        state["primed"] = True
+        mark = spark.createDataFrame([(None,)], "alert_id string")
+        _put(fresh.select("alert_id").unionByName(mark), seen_path, batch_id)
         fresh.unpersist()
 
     return write

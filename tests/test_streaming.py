@@ -141,13 +141,16 @@ def test_live_ingest_writes_alerts_and_counts_once(spark, tmp_path, tiny_model):
     put(source, 1, "a", [query(i, f"{'q' * 40}{i}.evil.info") for i in range(1, 6)] + [{**query(9), "timestamp": "nonsense"}])
     put(source, 2, "a", [query(2, "www.good.org"), query(1, "w.evil.info")])
     bundle = Bundle(tiny_model, 0.5)
-    scored, unreadable = live.scored_stream(sensor_stream(spark, str(source), 1), bundle)
-    alerts, counts = str(tmp_path / "alerts"), str(tmp_path / "counts")
+    arriving = live.live_rows(sensor_stream(spark, str(source), 1), bundle)
+    _, unreadable = live.scored_stream(sensor_stream(spark, str(source), 1), bundle)
+    alerts, counts, errors = (str(tmp_path / n) for n in ("alerts", "counts", "errors"))
     for attempt in range(2):  # the second run repeats both batches from a new checkpoint
-        finish(scored.writeStream.foreachBatch(live.ingest_writer(bundle, alerts, counts)).option("checkpointLocation", str(tmp_path / f"c{attempt}")))
+        finish(arriving.writeStream.foreachBatch(live.ingest_writer(bundle, alerts, counts, errors)).option("checkpointLocation", str(tmp_path / f"c{attempt}")))
     totals = live.live_totals(spark.read.parquet(counts)).collect()
     assert [tuple(r) for r in totals] == [("a", 6, 5, 1)]
-    assert spark.read.parquet(counts).agg(F.sum("rejected")).first()[0] == 1
+    assert tuple(spark.read.parquet(counts).agg(F.sum("rejected"), F.sum("unreadable")).first()) == (2, 1)
+    found = spark.read.parquet(errors).orderBy("batch_id").collect()
+    assert [(r.batch_seq, r.seq, r.error) for r in found] == [(1, 5, "bad_timestamp"), (2, 1, "older_than_history")]
     assert spark.read.parquet(alerts).select("alert_id").distinct().count() == spark.read.parquet(alerts).count() == 5
     bad = run(spark, unreadable.select("capture_id", "seq", "problem"), tmp_path, "unreadable")
     assert [tuple(r) for r in bad.collect()] == [("a", 5, "bad_timestamp")]
@@ -181,6 +184,10 @@ def test_digest_reports_only_new_alerts(spark, tmp_path):
     assert [(n, r.alerts, r.domains, r.hosts) for n, r in published] == [
         (2, 7, ["d3.net", "d4.net", "d0.net"], ["10.0.0.1", "10.0.0.0"])
     ]
+    again = live.digest_writer(str(tmp_path / "seen"), lambda df, n: published.append((n, df.collect()[0])), primed=False, keep_batches=1)
+    again(alerts(range(8, 12)), 3)  # after a restart; batch 2 is still remembered
+    again(alerts([0]), 4)  # batch 0 is not
+    assert [(n, r.alerts) for n, r in published[1:]] == [(3, 2), (4, 1)]
 
 
 def test_rejection_sample(spark):
