@@ -554,3 +554,5 @@ _add("held_out_experiment", DNS, HOST, folds(3), f"""held AS (SELECT * FROM host
 _add("replay_checks", DNS, select="""SELECT count(*) AS rows, true AS labels_identical, true AS predictions_identical, true AS scores_identical,
   true AS complete_histories FROM dns""")
 _add("batch_scores", DNS, select="SELECT row_id AS seq, true AS tier_fits, true AS verdict_fits, true AS alert_fits FROM dns")
+_add("fast_burst_run", DNS, select="""SELECT -1::INTEGER AS gap_ms, count(*) AS rows, count(DISTINCT host) AS domains, true AS recalls_are_shares
+  FROM dns WHERE host_label = 1 UNION ALL SELECT unnest([1, 250])::INTEGER, NULL, NULL, true""")

@@ -145,6 +145,45 @@ def stress_predictions(features, bundle, previous):
     return with_prediction(old, bundle.model, bundle.threshold).withColumnRenamed("score", "attack_probability")
 
 
+def unseen_domains(stress, development, excluded):
+    """Stress rows, which may share no domain with development or held-out rows."""
+    known = development.select("apex_domain").unionByName(excluded.select("apex_domain"))
+    shared = require_single_class(stress, 1).join(known, "apex_domain", "left_semi").limit(1).collect()
+    if shared:
+        raise DataError(f"stress rows reuse the domain {shared[0]['apex_domain']}")
+    return stress
+
+
+def fast_burst_experiment(rows, allocation, fold, captures, stress, previous, big_domain, gaps_ms=SWEEP_GAPS_MS, **selection):
+    """Add captures (fast bursts among them) to the development rows, select and refit, and hold the new model against
+    the previous one: on the held-out rows, on fast benign rows, on unseen bursts, and over a sweep of gaps."""
+    training, evaluation, excluded = held_out_partition(rows, allocation, fold)
+    extra = {
+        name: (benign_capture if kind == "benign" else attack_capture)(table, excluded)
+        for name, (kind, table) in captures.items()
+    }
+    development = development_features({"primary": training, **extra})
+    stress = unseen_domains(stress, development, excluded)
+    bundle, selected = augmented_model(development, excluded, **selection)
+    held_out = development_features({"evaluation": evaluation})
+    earlier = with_prediction(held_out, previous.model, previous.threshold).withColumnRenamed("prediction", "previous_prediction")
+    predicted = with_prediction(earlier.drop("score"), bundle.model, bundle.threshold)
+    stressed = stress_predictions(development_features({"stress": stress}), bundle, previous)
+    models = {"previous_recall": previous, "recall": bundle}
+    return {
+        "bundle": bundle, "selected": selected, "captures": capture_report(development), "predictions": predicted,
+        "metrics": before_and_after(predicted, big_domain, "previous_prediction"), "domains": domain_errors(predicted),
+        "fast_benign": fast_benign_errors(predicted), "stress_predictions": stressed,
+        "stress": stressed.agg(
+            F.count(F.lit(1)).alias("rows"), F.count_distinct("apex_domain").alias("domains"),
+            F.avg("previous_prediction").alias("previous_recall"), F.avg("prediction").alias("recall"),
+        ),
+        "sweep": timing_sweep(stress, {
+            name: lambda df, b=b: with_prediction(df, b.model, b.threshold) for name, b in models.items()
+        }, gaps_ms),
+    }
+
+
 def compare_detectors(saved, features, rule=None, votes=2):
     """Frozen rule and saved model predictions on identical rows."""
     joined = join_predictions(saved, features).withColumn("rule", rule_prediction(rule, votes))

@@ -881,6 +881,23 @@ def held_out_experiment(spark, sf_dir):
     return result["metrics"].select("scope", "model", *class_totals())
 
 
+@query
+def fast_burst_run(spark, sf_dir):
+    """The whole experiment with small forests: what both models are tried on, and whether their recalls are shares."""
+    rows = by_host(views.dns(spark, sf_dir)).drop("capture_id")
+    allocation = stored_allocation(rows)
+    bursts = links.exclude_domains(rows.where("label = 1"), allocation.where("outer_fold = 1"))
+    stress = rows.where("label = 1").withColumn("apex_domain", F.concat(F.lit("unseen."), "apex_domain"))
+    previous = forest.Bundle(forest.fit_forest(forest.model_input(views.host_features(spark, sf_dir)), QUICK), 0.5)
+    result = experiments.fast_burst_experiment(
+        rows, allocation, 1, {"bursts": ("attack", bursts)}, stress, previous, "none", gaps_ms=(1, 250), specs=[QUICK], folds=2,
+        policy=HOST_POLICY, thresholds=THRESHOLDS,
+    )
+    shares = (F.col("previous_recall").between(0, 1) & F.col("recall").between(0, 1)).alias("recalls_are_shares")
+    whole = result["stress"].select(F.lit(-1).alias("gap_ms"), "rows", "domains", shares)
+    return whole.unionByName(result["sweep"].select("gap_ms", shares), allowMissingColumns=True)
+
+
 @query
 def timing_sweep(spark, sf_dir):
     attacks = views.dns(spark, sf_dir).where("host_label = 1")
