@@ -1,9 +1,14 @@
 """Reading tables, shared intermediate tables and text expressions the operators have in common."""
 
+import os
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+import leakgauge
 from leakgauge.session import ensure_checkpoint_dir
 
 #: A word is a run of characters other than these.
@@ -28,8 +33,22 @@ def kept(df, name="table"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SENT = set()
+
+
+def send_package(spark):
+    """Give the tasks this package, once per application, unless they find it in the same PYTHONPATH."""
+    root, context = Path(leakgauge.__file__).resolve().parents[1], spark.sparkContext
+    if context.applicationId in _SENT or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/leakgauge", "zip", root, "leakgauge")
+    context.addPyFile(archive)  # Spark hands the driver's copy to every executor
+    _SENT.add(context.applicationId)
+
+
 def narrow(df, **columns):
     """Only the named inputs under names of our own, so that other columns of the table cannot clash with ours."""
+    send_package(df.sparkSession)
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
 
 
