@@ -110,11 +110,33 @@ def shared_bands(part, codes):
     key, count = np.unique((item << 42) + band, return_counts=True)
     if len(key) > 1:  # a band and its neighbour make one double band; double bands overlap by half
         count[:-1] += np.where(key[1:] == key[:-1] + 1, count[1:], 0)
-    for k in key[count >= part.bound[key >> 42]].tolist():
-        i = k >> 42
-        wide = int(part.edits[i]) + 1
-        first = ((k & ((1 << 42) - 1)) - (1 << 40)) * wide
-        yield i, first, first + 2 * wide - 1
+    found = key[count >= part.bound[key >> 42]]
+    if not len(found):
+        return
+    diagonal, place = np.repeat(at, size) - part.place[entry], part.place[entry]
+    for i in np.unique(found >> 42).tolist():
+        mine = item == i
+        yield from ((i, *span) for span in _dense(diagonal[mine], place[mine], int(part.edits[i]), int(part.bound[i])))
+
+
+def _dense(diagonal, place, edits, bound):
+    """Spans of diagonals in which some edits + 1 neighbours hold `bound` different q-grams of the item."""
+    order = np.argsort(diagonal, kind="stable")
+    diagonal, place = diagonal[order], place[order]
+    end = np.searchsorted(diagonal, diagonal + edits, "right")
+    span = None
+    for k in np.flatnonzero(end - np.arange(len(end)) >= bound).tolist():
+        if k and diagonal[k] == diagonal[k - 1] or len(np.unique(place[k:end[k]])) < bound:
+            continue
+        first, last = int(diagonal[k]), int(diagonal[end[k] - 1])
+        if span and first <= span[1]:
+            span[1] = last
+            continue
+        if span:
+            yield span
+        span = [first, last]
+    if span:
+        yield span
 
 
 def aligned(item, codes, first, last, most):
