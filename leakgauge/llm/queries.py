@@ -48,4 +48,7 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_scores, op2_repeat_removal, op3_warc_archives, op4_simhash_groups, op5_token_counts, op6_weighted_mix,
     op7_jump_shards, op8_exact_dedup, op9_languages, op10_contamination,
 )}
-ORACLES = {"op3_warc_archives": warc.SQL, "op6_weighted_mix": mixing.SQL, "op8_exact_dedup": recipes.SQL}
+ORACLES = {
+    "op2_repeat_removal": repeats.SQL, "op3_warc_archives": warc.SQL, "op6_weighted_mix": mixing.SQL,
+    "op7_jump_shards": shards.SQL, "op8_exact_dedup": recipes.SQL,
+}

@@ -347,3 +347,29 @@ def removal_report(docs, id_col="doc_id", text_col="text"):
         F.col("n_removed") == F.col("n_bytes"), F.lit(hashlib.sha256().hexdigest())).otherwise(F.col("digest"))
     return joined.join(_of(digests, "of"), _same("of"), "left").select(
         "doc_id", "n_bytes", "n_removed", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), left.alias("kept_sha256"))
+
+
+SQL = """
+WITH texts AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents
+), strings AS (
+  SELECT doc_id, k, hash(array_slice(b, k + 1, k + 400)) AS d
+  FROM (SELECT doc_id, b, unnest(range(0, n - 399)) AS k FROM texts WHERE n >= 400)
+), repeated AS (
+  SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before
+  FROM (SELECT doc_id, k FROM strings QUALIFY count(*) OVER (PARTITION BY d) > 1)
+), runs AS (
+  SELECT doc_id, k, sum(CASE WHEN before IS NULL OR k > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM repeated
+), spans AS (
+  SELECT doc_id, min(k) AS s, max(k) + 400 AS e FROM runs GROUP BY doc_id, run
+), pieces AS (
+  SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS done FROM spans
+), cut AS (
+  SELECT p.doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, 2 * done + 1, 2 * (s - done)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept
+  FROM pieces p JOIN texts t ON t.doc_id = p.doc_id GROUP BY p.doc_id
+)
+SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM texts t LEFT JOIN cut c ON c.doc_id = t.doc_id
+"""

@@ -83,3 +83,31 @@ def write_shards(docs, path, shards=8, id_col="doc_id"):
     """Write whole rows into one folder per shard; a shard is split over many files."""
     number = jump_shard(F.col(f"`{id_col}`"), shards)
     docs.withColumn("shard_number", number).write.partitionBy("shard_number").parquet(path)
+
+
+SQL = """
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t
+  FROM (SELECT unnest(range(256)) AS n)
+), checked AS (
+  SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size,
+         xor(4294967295, list_reduce(
+           list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32
+  FROM documents, crc_table
+), jumps AS (
+  SELECT DISTINCT shards, coalesce(doc_id, 0) AS id, (coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616 AS key,
+         -1::BIGINT AS shard, 0::BIGINT AS jump_to
+  FROM documents, (SELECT unnest([8, 9]) AS shards)
+  UNION ALL
+  SELECT shards, id, next_key, jump_to, floor((jump_to + 1) * (2147483648.0::DOUBLE / ((next_key // 8589934592)::BIGINT + 1)::DOUBLE))::BIGINT
+  FROM (SELECT *, (key % 4294967296 * 2862933555777941757 + (key // 4294967296 * 2862933555777941757) % 4294967296 * 4294967296 + 1)
+                  % 18446744073709551616 AS next_key FROM jumps WHERE jump_to < shards)
+), settled AS (
+  SELECT id, max(shard) FILTER (shards = 8) AS shard, max(shard) FILTER (shards = 9) AS grown_shard FROM jumps GROUP BY id
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, text_crc32, size) - 1 AS slot,
+       grown_shard::INTEGER AS grown_shard
+FROM checked JOIN settled ON coalesce(doc_id, 0) = id
+"""
