@@ -23,12 +23,13 @@ def window_micros(seconds):
 
 def with_window_features(
     df, keys=GROUP_KEYS, window_seconds=WINDOW_SECONDS, order=("row_id",), time="epoch_us",
-    subdomain="subdomain", limit=ROWS_PER_TASK, layout=None,
+    subdomain="subdomain", limit=ROWS_PER_TASK, layout=None, ignored=None,
 ):
     """Add query_frequency, unique_subdomains and time_interval.
 
     ``keys`` names whatever separates histories (add a capture or split column to isolate them), ``order``
-    the arrival order among equal times. Rows need not arrive sorted.
+    the arrival order among equal times. Rows need not arrive sorted. Rows whose column ``ignored`` is true count in no
+    window and get no features.
     """
     width = window_micros(window_seconds)
     keys, order = list(keys), list(order)
@@ -38,22 +39,25 @@ def with_window_features(
         # One exchange serves both windows below.
         df = df.repartition(*keys)
     marked = with_running(
-        df, [*keys, subdomain], [time, *order], layout,
+        df, [*keys, subdomain, *([ignored] if ignored else [])], [time, *order], layout,
         __before=previous(F.col(time)), __after=following(F.col(time)),
     )
     starts = F.when(F.col("__before") >= F.col(time) - width, 0).otherwise(1)
     ends = F.when(F.col("__after") <= F.col(time) + width, 0).otherwise(-1)
+    counted = F.lit(True) if ignored is None else ~F.col(ignored)
+    weigh = lambda value: F.when(counted, value).otherwise(0) if ignored else value
     row = F.struct(*(c for c in columns if c not in keys))
     arrival = {f"__o{i}": F.col(name) for i, name in enumerate(order)}
 
     def step(at, kind, count, distinct, payload, own_time):
         return F.struct(
-            at.alias("__at"), F.lit(kind).alias("__kind"), F.lit(count).alias("__count"),
-            distinct.alias("__distinct"), own_time.alias("__time"), payload.alias("__row"),
+            at.alias("__at"), F.lit(kind).alias("__kind"), weigh(F.lit(count)).alias("__count"),
+            weigh(distinct).alias("__distinct"), own_time.alias("__time"), payload.alias("__row"),
             *(c.alias(n) for n, c in arrival.items()),
         )
 
-    now = step(F.col(time), 0, 1, starts, row, F.col(time))
+    own_time = F.when(counted, F.col(time)) if ignored else F.col(time)
+    now = step(F.col(time), 0, 1, starts, row, own_time)
     later = step(F.col(time) + width, 1, -1, ends, F.lit(None).cast(_type_of(df, row)), F.lit(None).cast("bigint"))
     steps = marked.select(*keys, F.explode(F.array(now, later)).alias("s")).select(*keys, "s.*")
     swept = with_running(
@@ -63,14 +67,17 @@ def with_window_features(
         __previous=last_known(F.col("__time")),  # expiry steps hold no time, so this skips them
     )
     interval = F.col(time) / 1e6 - F.col("__previous") / 1e6
+    found = {
+        "query_frequency": F.col("query_frequency").cast("int"),
+        "unique_subdomains": F.col("unique_subdomains").cast("int"),
+        "time_interval": F.coalesce(interval, F.lit(FIRST_INTERVAL)),
+    }
+    if ignored:
+        found = {name: F.when(counted, value) for name, value in found.items()}
     return (
         swept.where("__kind = 0")
         .select(*keys, "__row.*", "query_frequency", "unique_subdomains", "__previous")
-        .withColumns({
-            "query_frequency": F.col("query_frequency").cast("int"),
-            "unique_subdomains": F.col("unique_subdomains").cast("int"),
-            "time_interval": F.coalesce(interval, F.lit(FIRST_INTERVAL)),
-        })
+        .withColumns(found)
         .select(*columns, "query_frequency", "unique_subdomains", "time_interval")
     )
 

@@ -17,6 +17,11 @@ def _missing(columns):
     ]
 
 
+def _distinct(df, column):
+    """A narrow count of its own; several distinct counts in one aggregate would copy every row once per column."""
+    return df.select(column).agg(F.count_distinct(column).alias("n")).scalar()
+
+
 def repeated_rows(df):
     """Rows that equal an earlier row in every column."""
     copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
@@ -71,14 +76,14 @@ def attack_contract(df, earliest_us, latest_us, rows=None):
         F.count_if(differs("dns_query_entropy", TOLERANCE)).alias("entropy_mismatches"),
         F.count_if(differs("dns_subdomain_count")).alias("label_count_mismatches"),
         F.count_if(differs("dns_numerical_ratio", TOLERANCE)).alias("digit_share_mismatches"),
-        F.count_distinct("requested_server_name").alias("distinct_names"),
-        F.count_distinct("__base").alias("distinct_base_domains"),
-        F.count_distinct("src_ip").alias("distinct_sources"),
-        F.count_distinct("dst_ip").alias("distinct_resolvers"),
         F.min("dns_query_length").alias("min_length"), F.max("dns_query_length").alias("max_length"),
         F.round(F.min("dns_query_entropy"), 4).alias("min_entropy"),
         F.round(F.max("dns_query_entropy"), 4).alias("max_entropy"),
     ).withColumns({
+        "distinct_names": _distinct(df, "requested_server_name"),
+        "distinct_base_domains": _distinct(checked, "__base"),
+        "distinct_sources": _distinct(df, "src_ip"),
+        "distinct_resolvers": _distinct(df, "dst_ip"),
         "columns_match": F.lit(tuple(df.columns) == DATASET_COLUMNS),
         "duplicate_rows": repeated_rows(df).scalar(),
     })

@@ -66,19 +66,12 @@ class Layout:
 
 
 def choose_layout(df, group, limit=ROWS_PER_TASK):
-    """Measure the largest group; whole groups are kept together only up to the limit.
-
-    The rows are counted first, which needs no shuffle and next to no columns. Groups are counted only
-    when the table as a whole is larger than the limit.
-    """
-    total = df.count()
-    if total <= limit:
+    """Measure rows and largest group in one pass; whole groups are kept together only up to the limit."""
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    total, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if largest <= limit:
         return Layout(False)
-    chunks = max(shuffle_width(df.sparkSession), 2, -(-total // limit))
-    if not group:
-        return Layout(True, chunks)
-    largest = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return Layout(largest > limit, chunks)
+    return Layout(True, max(shuffle_width(df.sparkSession), 2, -(-total // limit)))
 
 
 def layout_if_small(source, limit=ROWS_PER_TASK):
@@ -177,8 +170,8 @@ def _chunked(df, group, order, chunks, values):
 
 def _combine(run, name):
     here, before = F.col(name), F.col(f"__c_{name}")
-    if run.kind == "sum":
-        return here + F.coalesce(before, F.lit(0))
+    if run.kind == "sum":  # like a plain sum: null only as long as there is nothing to add
+        return F.when(before.isNull(), here).otherwise(before + F.coalesce(here, F.lit(0)))
     if run.kind == "previous":
         return F.when(F.col("__first"), before).otherwise(here)
     if run.kind == "following":

@@ -38,24 +38,26 @@ def check_thresholds(thresholds):
     return sorted(thresholds)
 
 
-def threshold_hits(scored, thresholds, keys):
-    """Rows per key, class and threshold they reach: a sparse reverse cumulative count.
+def reach_counts(scored, thresholds, keys):
+    """Benign and attack rows per key and number of thresholds they reach (none included).
 
-    Each row is reduced to how many thresholds it reaches; only those are written out, and rows that
-    reach none (most benign ones) vanish before the shuffle.
+    The one aggregate over the rows; totals, hits, folds and domains all follow from its result, which Spark computes
+    once per query because its exchange is the same everywhere.
     """
-    thresholds = check_thresholds(thresholds)
-    reached = reduce(lambda a, b: a + b, [(F.col("score") >= t).cast("int") for t in thresholds])
-    counts = scored.withColumn("reached", reached).where("reached > 0").groupBy(*keys, "label", "reached").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    array = F.array(*(F.lit(float(t)) for t in thresholds))
-    return counts.withColumn("threshold", F.explode(F.slice(array, F.lit(1), F.col("reached")))).groupBy(
-        *keys, "threshold"
-    ).agg(
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("fp"),
-    )
+    reached = reduce(lambda a, b: a + b, [(F.col("score") >= t).cast("int") for t in check_thresholds(thresholds)])
+    return scored.withColumn("reached", reached).groupBy(*keys, "reached").agg(
+        F.count_if(F.col("label") == 0).alias("benign"), F.count_if(F.col("label") == 1).alias("attack"))
+
+
+def class_sizes(counts, keys):
+    return counts.groupBy(*keys).agg(F.sum("benign").alias("benign"), F.sum("attack").alias("attack"))
+
+
+def threshold_hits(counts, thresholds, keys):
+    """Rows per key and threshold they reach, by class: a sparse reverse cumulative count."""
+    array = F.array(*(F.lit(float(t)) for t in check_thresholds(thresholds)))
+    reaching = counts.where("reached > 0").withColumn("threshold", F.explode(F.slice(array, F.lit(1), F.col("reached"))))
+    return reaching.groupBy(*keys, "threshold").agg(F.sum("attack").alias("tp"), F.sum("benign").alias("fp"))
 
 
 def _complete(totals, hits, keys):
@@ -69,10 +71,9 @@ def _complete(totals, hits, keys):
 def threshold_table(scored, thresholds, keys):
     """Confusion counts per key and threshold."""
     every = F.explode(F.array(*(F.lit(float(t)) for t in check_thresholds(thresholds))))
-    totals = scored.groupBy(*keys).agg(
-        F.count_if(F.col("label") == 0).alias("benign"), F.count_if(F.col("label") == 1).alias("attack")
-    ).withColumn("threshold", every)
-    return _complete(totals, threshold_hits(scored, thresholds, keys), keys)
+    counts = reach_counts(scored, thresholds, keys)
+    totals = class_sizes(counts, keys).withColumn("threshold", every)
+    return _complete(totals, threshold_hits(counts, thresholds, keys), keys)
 
 
 def policy_trials(scored, policy, thresholds=SCORE_THRESHOLDS, group="apex_domain"):
@@ -81,10 +82,8 @@ def policy_trials(scored, policy, thresholds=SCORE_THRESHOLDS, group="apex_domai
     ``scored`` holds trial_id, fold, domain, label and score of every out-of-fold row.
     """
     keys = ["trial_id", "fold", group]
-    per_domain = threshold_hits(scored, thresholds, keys)
-    sizes = scored.groupBy(*keys).agg(
-        F.count_if(F.col("label") == 0).alias("benign"), F.count_if(F.col("label") == 1).alias("attack")
-    )
+    counts = reach_counts(scored, thresholds, keys)
+    per_domain, sizes = threshold_hits(counts, thresholds, keys), class_sizes(counts, keys)
     every = F.explode(F.array(*(F.lit(float(t)) for t in check_thresholds(thresholds))))
     fold_totals = sizes.groupBy("trial_id", "fold").agg(F.sum("benign").alias("benign"), F.sum("attack").alias("attack"))
     fold_hits = per_domain.groupBy("trial_id", "fold", "threshold").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))

@@ -16,6 +16,10 @@ RAW_DEFAULTS = {
 }
 
 
+# About 40 MB of block offsets.
+BLOCKS_TO_BROADCAST = 200_000
+
+
 def _scan(spark, path, **options):
     reader = spark.read.option("header", True).option("escape", '"')
     for key, value in options.items():
@@ -24,11 +28,14 @@ def _scan(spark, path, **options):
 
 
 def with_row_numbers(scan, name="row_id"):
-    """One-based row numbers of a file scan, in file order, without a sort or a shuffle of the rows.
+    """One-based row numbers of a file scan, in file order, without a sort of the rows.
 
     Within a block rows are read in order; how many rows the earlier blocks hold is a table with one row
-    per block, so it is small whatever the size of the files.
+    per block: counted within each file, then over the files. It is broadcast, so that no row moves, if files and
+    partitions (whose sum is an upper bound of the blocks) are few enough; beyond, it is joined like any table.
     """
+    blocks_at_most = len(scan.inputFiles()) + scan.rdd.getNumPartitions()
+    sent = F.broadcast if blocks_at_most <= BLOCKS_TO_BROADCAST else (lambda table: table)
     read = scan.select(
         "*",
         F.col("_metadata.file_path").alias("__file"),
@@ -38,10 +45,14 @@ def with_row_numbers(scan, name="row_id"):
     blocks = read.groupBy("__file", "__block").agg(
         F.min("__seen").alias("__from"), F.count(F.lit(1)).alias("__rows")
     )
-    before = W.orderBy("__file", "__block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = blocks.withColumn("__offset", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+    in_file = W.partitionBy("__file").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    over_files = W.orderBy("__file").rowsBetween(W.unboundedPreceding, -1)
+    files = blocks.groupBy("__file").agg(F.sum("__rows").alias("__rows")).select(
+        "__file", F.coalesce(F.sum("__rows").over(over_files), F.lit(0)).alias("__files_before"))
+    offsets = blocks.withColumn("__blocks_before", F.coalesce(F.sum("__rows").over(in_file), F.lit(0))).join(files, "__file")
+    offsets = offsets.withColumn("__offset", F.col("__files_before") + F.col("__blocks_before"))
     return (
-        read.join(F.broadcast(offsets.drop("__rows")), ["__file", "__block"])
+        read.join(sent(offsets.select("__file", "__block", "__from", "__offset")), ["__file", "__block"])
         .withColumn(name, F.col("__offset") + F.col("__seen") - F.col("__from") + 1)
         .select(*scan.columns, name)
     )

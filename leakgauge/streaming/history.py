@@ -111,17 +111,8 @@ def replayed_window_features(rows, window_seconds=WINDOW_SECONDS, limit=ROWS_PER
     ordered = with_running(rows, KEYS, ARRIVAL, limit=limit, __highest=highest_before(F.col("epoch_us")))
     late = F.coalesce(F.col("epoch_us") < F.col("__highest"), F.lit(False))
     marked = ordered.withColumn("__late", late).drop("__highest")
-    accepted = with_window_features(
-        marked.where("NOT __late"), KEYS, window_seconds, ("batch_seq", "seq"), limit=limit
-    )
-    rejected = marked.where("__late").withColumns({
-        "query_frequency": F.lit(None).cast("int"),
-        "unique_subdomains": F.lit(None).cast("int"),
-        "time_interval": F.lit(None).cast("double"),
-    })
-    return accepted.withColumn("status", F.lit("accepted")).unionByName(
-        rejected.withColumn("status", F.lit("rejected"))
-    ).drop("__late")
+    swept = with_window_features(marked, KEYS, window_seconds, ("batch_seq", "seq"), limit=limit, ignored="__late")
+    return swept.withColumn("status", F.when(F.col("__late"), "rejected").otherwise("accepted")).drop("__late")
 
 
 def parse_stream(raw):

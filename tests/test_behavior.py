@@ -123,3 +123,14 @@ def test_chunked_running_values_equal_plain_windows(spark):
         cut = with_running(df, group, ["i"], Layout(True, 9), **values)
         assert len(cut.collect()) == len(rows)
         assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in cut.collect()}
+
+
+def test_sums_over_nulls_do_not_depend_on_the_layout(spark):
+    from leakgauge.plans.ordered import running_sum, with_running
+
+    rows = [("a", i, v) for i, v in enumerate([None, 1, None, None, None, 2, None, None])] + [("b", i, None) for i in range(8)]
+    df = spark.createDataFrame(rows, "g string, i int, v int")
+    plain, cut = (
+        {(r.g, r.i): r.s for r in with_running(df, ["g"], ["i"], limit=limit, s=running_sum(F.col("v"))).collect()} for limit in (100, 2)
+    )
+    assert plain == cut and plain["a", 0] is None and plain["a", 4] == 1 and plain["b", 7] is None
