@@ -556,3 +556,11 @@ _add("replay_checks", DNS, select="""SELECT count(*) AS rows, true AS labels_ide
 _add("batch_scores", DNS, select="SELECT row_id AS seq, true AS tier_fits, true AS verdict_fits, true AS alert_fits FROM dns")
 _add("fast_burst_run", DNS, select="""SELECT -1::INTEGER AS gap_ms, count(*) AS rows, count(DISTINCT host) AS domains, true AS recalls_are_shares
   FROM dns WHERE host_label = 1 UNION ALL SELECT unnest([1, 250])::INTEGER, NULL, NULL, true""")
+_add("csv_log_scan", DNS, "sizes AS (SELECT label, count(*) AS rows FROM dns GROUP BY ALL)", select="""SELECT label::INTEGER AS label, s.rows AS rows, true AS has_names,
+  (SELECT count(*) FROM dns) AS numbers, 1::BIGINT AS first, (SELECT count(*) FROM dns) AS last FROM sizes s""")
+_add("stored_predictions", DNS, select="""SELECT row_id::BIGINT AS input_row_id, apex_domain, label::INTEGER AS label, (score >= 0.7::DOUBLE)::INTEGER AS prediction,
+  round(score, 6) AS attack_probability FROM dns""")
+_add("model_input_table", *features(), select="SELECT row_id, " + ", ".join(
+    f"round({f}, {6 if f == 'time_interval' else 9})::DOUBLE AS {f}" for f in MODEL_FEATURES) + " FROM win")
+_add("accepted_benign_capture", DNS, HOST, folds(3), select="""SELECT apex_domain, count(*) AS rows FROM hosts JOIN fold_map USING (apex_domain)
+  WHERE hosts.label = 0 AND fold <> 1 GROUP BY ALL""")

@@ -1,5 +1,7 @@
 """Registered queries: every operator over the given tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leakgauge import views
@@ -11,6 +13,7 @@ from leakgauge.functions import clock, domain, lexical, net, verdict
 from leakgauge.operators import behavior, dedup, links, metrics, quality, ranking, rules, splits, validate
 from leakgauge.plans import cleaning, experiments, forest, scoring, selection
 from leakgauge.plans.ordered import running_sum, with_running
+from leakgauge.session import ensure_checkpoint_dir
 from leakgauge.sources import csv, json, packets, sinks
 from leakgauge.streaming import history, live
 
@@ -55,6 +58,32 @@ def csv_alias_scan(spark, sf_dir):
     return csv.canonical(raw).drop("label_text")
 
 
+def stored(spark, write):
+    """A new path in the folder that driver and executors share, after ``write`` has put a table there."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    write(path)
+    return path
+
+
+@query
+def csv_log_scan(spark, sf_dir):
+    """A log written as CSV files and read back: every row with a number of its own, none left out."""
+    raw = views.raw_queries(spark, sf_dir).select("timestamp", "src_ip", "dst_ip", F.col("requested_server_name").alias("query"), "label")
+    log = csv.read_raw(spark, stored(spark, lambda path: raw.write.option("header", True).csv(path)))
+    numbers = log.agg(F.count_distinct("row_id").alias("numbers"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
+    per_label = log.groupBy("label").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.crc32(F.encode("requested_server_name", "utf-8")) % 2).alias("odd_names"))
+    return per_label.select("label", "rows", (F.col("odd_names") > 0).alias("has_names")).crossJoin(numbers)  # two rows by one
+
+
+@query
+def stored_predictions(spark, sf_dir):
+    """Published predictions written and read again under their schema."""
+    rows = views.scored(spark, sf_dir, 0.7).withColumn("score", F.round("score", 6))
+    return csv.read_predictions(spark, stored(spark, lambda path: sinks.write_table(sinks.prediction_table(rows), path)))
+
+
 @query
 def row_limited_scan(spark, sf_dir):
     raw = views.raw_queries(spark, sf_dir).withColumn("row_id", F.col("row_id") + 1)
@@ -510,6 +539,13 @@ def enriched_table(spark, sf_dir):
     return rounded(rounded(table, "entropy", "digit_ratio", "special_char_ratio"), "time_interval", places=6)
 
 
+@query
+def model_input_table(spark, sf_dir):
+    """The checked input of the model: ten finite doubles per row."""
+    rows = forest.model_input(views.host_features(spark, sf_dir)).select("row_id", *MODEL_FEATURES)
+    return rounded(rounded(rows, "entropy", "digit_ratio", "special_char_ratio"), "time_interval", places=6)
+
+
 @query
 def suspicious_pairs(spark, sf_dir):
     """Which client and apex pairs look like exfiltration under the rule."""
@@ -881,6 +917,14 @@ def held_out_experiment(spark, sf_dir):
     return result["metrics"].select("scope", "model", *class_totals())
 
 
+@query
+def accepted_benign_capture(spark, sf_dir):
+    """Imported benign rows (a single class) once the held-out domains are excluded."""
+    rows = by_host(views.dns(spark, sf_dir))
+    excluded = stored_allocation(rows).where("outer_fold = 1").select("apex_domain").distinct()
+    return experiments.benign_capture(rows.where("label = 0"), excluded).groupBy("apex_domain").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query
 def fast_burst_run(spark, sf_dir):
     """The whole experiment with small forests: what both models are tried on, and whether their recalls are shares."""
