@@ -113,7 +113,7 @@ def exact_groups(docs, id_col="doc_id", text_col="text"):
     rows = rows.select("doc_id", "n_points", "text_sha256", "identity")
     first = F.struct((-F.col("n_points")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"))
     groups = rows.groupBy("identity").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    several = groups.where("group_size > 1").select(F.col("identity").alias("of"), "best", "group_size")
+    several = kept(groups.where("group_size > 1").select(F.col("identity").alias("of"), "best", "group_size"), "copies")
     joined = rows.join(several, F.col("identity") == F.col("of"), "left")
     keep_id = F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
     return joined.select(
