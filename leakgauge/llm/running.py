@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 100_000
+ROWS_PER_BUCKET = 1000
 
 
 def bucketed(df, hex_key, rows):
