@@ -1,6 +1,7 @@
 """Registered queries of this subpackage over the given tables, and their SQL where SQL can express them."""
 
 from . import contamination, language, mixing, quality, recipes, repeats, shards, simhash, tokens, warc
+from .simhash_sql import simhash_groups_sql
 from .store import table
 
 
@@ -49,6 +50,6 @@ QUERIES = {f.__name__: f for f in (
     op7_jump_shards, op8_exact_dedup, op9_languages, op10_contamination,
 )}
 ORACLES = {
-    "op2_repeat_removal": repeats.SQL, "op3_warc_archives": warc.SQL, "op6_weighted_mix": mixing.SQL,
-    "op7_jump_shards": shards.SQL, "op8_exact_dedup": recipes.SQL,
+    "op2_repeat_removal": repeats.SQL, "op3_warc_archives": warc.SQL, "op4_simhash_groups": simhash_groups_sql(),
+    "op6_weighted_mix": mixing.SQL, "op7_jump_shards": shards.SQL, "op8_exact_dedup": recipes.SQL,
 }
