@@ -17,7 +17,7 @@ from leakgauge.sources.csv import read_raw
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-REPEATS = int(os.environ.get("BENCH_REPEATS", "2"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 HEADLINE = (
     "suspicious_pairs", "model_feature_table", "window_features_six_hours", "lexical_features", "cleaned_table",
     "validation_report", "strict_load", "ranking_metrics", "policy_trials", "sensor_replay",

@@ -19,6 +19,13 @@ def read_table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df):
+    """Rows of a scan with fewer splits than cores (a small file) dealt out, since parsing costs more than moving them;
+    a large table has more splits than cores and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def raw_queries(spark, sf_dir):
     """Query rows as text, the way a log would hold them."""
     return typed_queries(spark, sf_dir).drop("epoch_us")
@@ -27,7 +34,7 @@ def raw_queries(spark, sf_dir):
 def typed_queries(spark, sf_dir):
     """The same rows with the exact time that the event table brings."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    events = spread(read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
     size = pages.agg(F.count(F.lit(1)).alias("n")).scalar()
     return events.withColumn("page_id", F.col("event_id") % size).join(pages, "page_id").select(
         F.col("event_id").alias("row_id"),
