@@ -339,7 +339,7 @@ _add("scorable_hosts", DNS, select="SELECT row_id, " + kinds("true", "false", "f
 _add("rebased_times", DNS, select="SELECT row_id, 1800000000000000 + epoch_us - (SELECT min(epoch_us) FROM dns) AS epoch_us FROM dns")
 
 _add("validation_problems", DNS, DIRTY, select="SELECT problem, count(*) AS rows FROM judged WHERE problem IS NOT NULL GROUP BY ALL")
-_add("problem_rows", DNS, DIRTY, select="SELECT capture_id, row_id, problem FROM judged WHERE problem IS NOT NULL")
+_add("problem_rows", DNS, DIRTY, select="SELECT capture_id, 0::INTEGER AS file_ord, row_id, problem FROM judged WHERE problem IS NOT NULL")
 _add("problem_sample", DNS, DIRTY, select="SELECT 0::INTEGER AS file_ord, row_id, problem FROM judged WHERE problem IS NOT NULL ORDER BY row_id LIMIT 5")
 _add("validation_report", DNS, DIRTY, select="""SELECT count(*) AS total_records, (SELECT count(*) FROM kept) AS valid_records,
   count(problem) AS invalid_records, count(*) - count(problem) - (SELECT count(*) FROM kept) AS duplicate_records,
