@@ -5,9 +5,10 @@ A byte goes if it lies in a string of `LENGTH` bytes that also starts anywhere e
 1. Anchors. Of the `GRAM`-byte grams of a string of LENGTH bytes the one with the least hash (the last of equals) is its
    anchor, so equal strings have equal anchors at equal places. Neighbouring strings with one anchor form a segment,
    which is known by the anchor's and its own content's digest; only these numbers travel.
-2. Anchors that occur once are done. A segment whose whole content occurs again is removed without a look at its text.
-3. The rest, segments whose anchor recurs in another surrounding, are sorted: buckets of equal 8-grams are refined by the
-   bucket numbers at later offsets, level by level, to depth LENGTH. Starts that share a last bucket are repeats.
+2. Anchors are the first buckets. One of a single member is done; one whose members all have the same content is equal
+   to full depth and needs no refinement; of the others one member of each content is refined.
+3. Those members are sorted: buckets of equal 8-grams are refined by the bucket numbers at later offsets, level by level,
+   to depth LENGTH. Starts that share a last bucket are repeats.
    Depths are kept equal within a level, because a start that differs only beyond LENGTH bytes must not leave its bucket.
    An anchor with very many different surroundings is counted string by string instead, without bringing it together.
 4. Spans are united per document; only documents that lose a part are read again for their digest.
