@@ -1,6 +1,6 @@
 """Registered queries of this subpackage over the given tables, and their SQL where SQL can express them."""
 
-from . import contamination, language, mixing, quality, recipes, repeats, shards, simhash, tokens, warc
+from . import audit, contamination, language, mixing, quality, recipes, repeats, shards, simhash, tokens, toxicity, warc, whitening
 from .simhash_sql import simhash_groups_sql
 from .store import table
 
@@ -45,11 +45,24 @@ def op10_contamination(spark, sf_dir):
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_scores, op2_repeat_removal, op3_warc_archives, op4_simhash_groups, op5_token_counts, op6_weighted_mix,
-    op7_jump_shards, op8_exact_dedup, op9_languages, op10_contamination,
+    op7_jump_shards, op8_exact_dedup, op9_languages, op10_contamination, op11_filter_audit, op12_whitening, op13_toxicity,
 )}
 ORACLES = {
     "op2_repeat_removal": repeats.SQL, "op3_warc_archives": warc.SQL, "op4_simhash_groups": simhash_groups_sql(),
     "op6_weighted_mix": mixing.SQL, "op7_jump_shards": shards.SQL, "op8_exact_dedup": recipes.SQL,
+    "op11_filter_audit": audit.SQL,
 }
