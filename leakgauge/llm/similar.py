@@ -1,17 +1,22 @@
-"""Near duplicates by the similarity of whole texts: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
-
-MinHash only proposes pairs: `BANDS` keys of `ROWS` minima each, so a pair of similarity s shares no key with
-probability (1 - s**5)**60, 5e-11 at 0.8 and less above. A pair counts only after its whole shingle sets were compared.
-Texts with equal sets are one node before that.
-
-A bucket (the nodes of one key) is never compared whole at once: first its nodes are compared with one of them, then
-with another, and what verified links have joined is left out from then on. At the end every two nodes of a bucket are
-in one component or have been compared. A large group of near copies costs its size and not its square; many nodes that
-share keys without being similar enough must be compared with each other.
+"""Near duplicates by SimHash: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
+
+A text's fingerprint has `64 * WORDS` bits, each set in over half of its shingles' hashes (ties by a fixed draw). At a
+similarity of 0.8 two fingerprints of 2,048 bits differ in 310 bits on average, at 0.65 in 430; pairs beyond `WITHIN` bits
+are discarded, which loses 1 in 2,000 of the pairs at 0.8 and none well above it (`WITHIN_SMALL` for sets under `SMALL`
+shingles, whose distances spread wider). Fingerprints are compared inside buckets: `BANDS` keys of `ROWS` minima each, so
+that a pair of similarity s shares none with probability (1 - s**10)**64: 0.0007 at 0.8, 0.000002 at 0.85. What is left
+counts only after the whole shingle sets were compared. Texts with equal sets are one node before that, and buckets with
+the same nodes are one bucket.
+
+A bucket is never compared whole at once: first its nodes are compared with one of them, then with another, and what
+verified links have joined is left out from then on. The rest is compared through pivot distance tables: distances to
+`PIVOTS` fingerprints of the bucket itself; a pair whose coordinates differ by more than `WITHIN` somewhere goes without
+a look at its bits. Buckets over `TILE` rows are dealt as pairs of tiles. So a large group of near copies costs its size in
+pairs that are verified; only nodes that fingerprints put near 0.8 and that no chain of links joins are compared each.
 
 Defined cases: a null text counts as empty; texts without words are one node; fewer words than a shingle give one
-shingle; case is folded for A-Z; repeated rows are documents of their own; a null identifier joins its component without
-naming it; an empty table gives no rows; other columns are ignored.
+shingle; case is folded for A-Z; very long texts are hashed in runs; repeated rows are documents of their own; a null
+identifier joins its component without naming it; an empty table gives no rows; other columns are ignored.
 """
 
 import functools
@@ -21,15 +26,18 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from .components import component_of
-from .store import kept, narrow
+from .store import kept, send_package
 
-SHINGLE, SIMILARITY, BANDS, ROWS, STARS, PAIRS_PER_BATCH = 5, 0.8, 60, 5, 2, 200
+SHINGLE, SIMILARITY, BANDS, ROWS, STARS = 5, 0.8, 64, 10, 2
+WORDS, WITHIN, WITHIN_SMALL, SMALL, PIVOTS, TILE = 32, 368, 448, 16, 8, 2048
 _RANDOM = np.random.default_rng(5)
 _FACTOR = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
 _SHIFT = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+_LANES = _RANDOM.integers(0, 1 << 64, WORDS, dtype=np.uint64)
+_TIES = _RANDOM.random(64 * WORDS) < 0.5
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _word = functools.partial(xxhash.xxh64_intdigest, seed=7)
 
@@ -63,6 +71,15 @@ def band_keys(shingles, run=4096):
     return keys
 
 
+def fingerprint(shingles, run=256):
+    """The fingerprint of a set as `WORDS` unsigned longs."""
+    twice = _TIES - np.int64(len(shingles))
+    for start in range(0, len(shingles), run):
+        hashes = _mixed(shingles[start:start + run, None] ^ _LANES)
+        twice += 2 * np.unpackbits(hashes.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(twice > 0).view(np.uint64)
+
+
 @F.pandas_udf(StructType().add("mark", BinaryType()).add("size", LongType()).add("keys", ArrayType(LongType())))
 def _signatures(texts: pd.Series) -> pd.DataFrame:
     sets = [shingle_set(t) for t in texts]
@@ -72,67 +89,94 @@ def _signatures(texts: pd.Series) -> pd.DataFrame:
     })
 
 
-@F.pandas_udf(StructType().add("mark", BinaryType()).add("shingles", ArrayType(LongType())))
+@F.pandas_udf(StructType().add("mark", BinaryType()).add("bits", BinaryType()).add("shingles", ArrayType(LongType())))
 def _sets(texts: pd.Series) -> pd.DataFrame:
     sets = [shingle_set(t) for t in texts]
-    return pd.DataFrame({"mark": [hashlib.md5(s.tobytes()).digest() for s in sets], "shingles": [s.view(np.int64) for s in sets]})
+    return pd.DataFrame({
+        "mark": [hashlib.md5(s.tobytes()).digest() for s in sets], "bits": [fingerprint(s).tobytes() for s in sets],
+        "shingles": [s.view(np.int64) for s in sets],
+    })
+
+
+def _words(bits):
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), WORDS)
+
 
+@F.pandas_udf(IntegerType())
+def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(np.bitwise_count(_words(a) ^ _words(b)).sum(axis=1, dtype=np.int32))
 
-@F.pandas_udf(BooleanType())
-def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    def similar(x, y):
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        return 5 * common >= 4 * (len(x) + len(y) - common)  # SIMILARITY in whole numbers
 
-    return pd.Series([similar(x, y) for x, y in zip(a, b)], dtype=bool)
+def _limit(size, other):
+    return F.when(F.least(size, other) < SMALL, WITHIN_SMALL).otherwise(WITHIN)
+
+
+def _sizes_fit(size, other):
+    """Sizes too far apart leave no room for the similarity."""
+    return F.least(size, other) * 5 >= F.greatest(size, other) * 4
 
 
 def _verified(pairs, sets):
-    """Those of the pairs (a, b) whose sets are similar, written; few pairs at a time go to Python, as sets may be large."""
+    """Those of the pairs (a, b) whose whole sets are similar, written."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    conf, name = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, PAIRS_PER_BATCH)
-    try:
-        return kept(pairs.join(left, "a").join(right, "b").where(_similar("of_a", "of_b")).select("a", "b"), "similar")
-    finally:
-        conf.set(name, before)
-
-
-def _ordered(pairs):
-    """Pairs once each; sizes too far apart for the similarity are left out."""
-    fits = F.least("size", "other_size") * 5 >= F.greatest("size", "other_size") * 4
-    pairs = pairs.where(fits & (F.col("node") != F.col("other")))
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    union = F.size("of_a") + F.size("of_b") - common
+    return kept(pairs.join(left, "a").join(right, "b").where(common * 5 >= union * 4).select("a", "b"), "similar")  # SIMILARITY
 
 
 def _placed(shared, linked):
     """Rows of the buckets whose nodes are not yet in one component, with their component."""
     rows = shared.join(linked, shared.node == linked.linked_node, "left").select(
-        "key", "node", "size", F.coalesce("component", "node").alias("component"))
+        "key", "node", "size", "bits", F.coalesce("component", "node").alias("component"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     return rows.join(mixed.select("key"), "key")
 
 
 def _star(open_rows, turn):
-    """Pairs of one node of each bucket with the others that are not in its component."""
-    pivots = open_rows.groupBy("key").agg(F.min_by(F.struct("node", "size", "component"), F.xxhash64("node", F.lit(turn))).alias("p"))
-    return _ordered(open_rows.join(pivots, "key").where("component <> p.component").select(
-        "node", "size", F.col("p.node").alias("other"), F.col("p.size").alias("other_size")))
+    """Pairs of one node of each bucket with the others outside its component that its fingerprint is near to."""
+    pivots = open_rows.groupBy("key").agg(F.min_by(F.struct("node", "size", "component", "bits"), F.xxhash64("node", F.lit(turn))).alias("p"))
+    rows = open_rows.join(pivots, "key").where((F.col("component") != F.col("p.component")) & _sizes_fit(F.col("size"), F.col("p.size")))
+    near = rows.where(_distance("bits", "p.bits") <= _limit(F.col("size"), F.col("p.size")))
+    return near.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+
+def near_pairs(rows, left, right):
+    """Index pairs of a bucket's rows, one of `left` and one of `right`, in different components and near each other."""
+    words, size = _words(list(rows["bits"])), rows["size"].to_numpy()
+    component = rows["component"].to_numpy()
+    apart = lambda i, j: np.bitwise_count(words[i] ^ words[j]).sum(axis=-1, dtype=np.int32)
+    pivot, tables = 0, []
+    for _ in range(PIVOTS):  # each pivot is the row farthest from those before it
+        tables.append(apart(np.arange(len(words)), pivot))
+        pivot = int(np.min(tables, axis=0).argmax())
+    table = np.stack(tables, axis=1)
+    for i in left:
+        j = right[(component[right] != component[i]) & (np.minimum(size[right], size[i]) * 5 >= np.maximum(size[right], size[i]) * 4)]
+        within = np.where(np.minimum(size[j], size[i]) < SMALL, WITHIN_SMALL, WITHIN)
+        survives = np.abs(table[j] - table[i]).max(axis=1, initial=0) <= within
+        j, within = j[survives], within[survives]
+        yield i, j[apart(j, i) <= within]
+
+
+def _tile_pairs(pdf):
+    side, node = pdf["side"].to_numpy(), pdf["node"].to_numpy()
+    found = [(min(node[i], k), max(node[i], k)) for i, j in near_pairs(pdf, np.flatnonzero(side != 1), np.flatnonzero(side != 0)) for k in node[j]]
+    return pd.DataFrame(np.array(sorted(set(found)), np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
 def _rest(open_rows):
-    """All pairs of a bucket's nodes in different components: all nodes outside its largest component with all others."""
-    parts = open_rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"))
-    outside = open_rows.join(largest, "key").where("component <> largest").select(
-        "key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"))
-    return _ordered(open_rows.join(outside, "key").where("component <> other_component"))
+    """The pairs of near fingerprints that are left: those of a bucket's nodes in different components."""
+    sizes = open_rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    rows = open_rows.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
+        "key", "node", "size", "component", "bits", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
+        F.when(F.col("tile") < F.col("other"), 0).when(F.col("tile") > F.col("other"), 1).otherwise(2).alias("side"))
+    return dealt.groupBy("key", "low", "high").applyInPandas(_tile_pairs, "a long, b long").distinct()
 
 
 def links(shared, sets):
-    """Verified links (a, b) that join all nodes of the buckets `shared` (key, node, size) that similarity joins."""
+    """Verified links (a, b) that join all nodes of the buckets `shared` (key, node, size, bits) that similarity joins."""
     found, tested = None, None
     linked = shared.sparkSession.createDataFrame([], "linked_node long, component long")
     for turn in range(STARS + 1):
@@ -147,23 +191,46 @@ def links(shared, sets):
     return found
 
 
+def buckets_of(nodes):
+    """(key, node, size) of the buckets with several nodes; of buckets with the same nodes one is left."""
+    rows = nodes.select("node", "size", F.explode("keys").alias("key"))
+    several = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
+    several = kept(several.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "buckets")
+    return kept(rows.join(several, "key"), "shared")
+
+
+def grouped(docs, id_col="doc_id", text_col="text"):
+    """Per row: a number of its own, the row as it was given (`given`), its identifier and the number of its component."""
+    send_package(docs.sparkSession)
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given"))
+    numbered = given.withColumn("row", F.monotonically_increasing_id())
+    text = F.col("given")[text_col]
+    marked = numbered.withColumn("s", _signatures(text)).select("row", "given", "s.*")
+    marked = kept(marked.withColumn("doc_id", F.col("given")[id_col]), "signatures")  # written once, so numbers stay
+    nodes = marked.groupBy("mark", "size").agg(F.min("row").alias("node"), F.first("keys").alias("keys"))
+    nodes = kept(nodes, "nodes")
+    shared = buckets_of(nodes)
+    wanted = kept(nodes.join(shared.select("node").distinct(), "node").select("node"), "wanted")
+    texts = marked.join(wanted, F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), _sets(text).alias("s"))
+    sets = kept(texts.select("node", "s.bits", "s.shingles"), "sets")
+    linked = component_of(links(shared.join(sets.select("node", "bits"), "node"), sets))
+    named = nodes.join(linked, nodes.node == linked.node, "left").select(
+        F.col("mark").alias("of"), F.coalesce("component", nodes.node).alias("component"))
+    return marked.join(named, F.col("mark") == F.col("of")).select("row", "given", "doc_id", "component")
+
+
 def similar_groups(docs, id_col="doc_id", text_col="text"):
     """Per document: the smallest identifier of its component."""
-    raw = narrow(docs, doc_id=id_col, text=text_col)
-    marked = kept(raw.select("doc_id", _signatures("text").alias("s")).select("doc_id", "s.*"), "signatures")
-    nodes = marked.groupBy("mark", "size").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
-    nodes = kept(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so numbers stay
-
-    rows = nodes.select("node", "size", F.explode("keys").alias("key"))
-    several = kept(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "buckets")
-    shared = kept(rows.join(several, "key"), "shared")
-    wanted = kept(nodes.join(shared.select("node").distinct(), "node").select("node", "mark", "least"), "wanted")
-    ids = wanted.select(F.col("least").alias("wanted_id")).distinct()
-    texts = raw.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select(_sets("text").alias("s")).select("s.*")
-    texts = texts.join(wanted, "mark").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    linked = component_of(links(shared, kept(texts, "sets")))
-
-    named = nodes.join(linked, "node", "left").select("mark", "least", F.coalesce("component", "node").alias("component"))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_mark = named.join(names, "component").select("mark", "component_id")
-    return marked.join(by_mark, "mark").select("doc_id", "component_id")
+    rows = kept(grouped(docs, id_col, text_col).select("doc_id", "component"), "grouped")
+    names = rows.groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"))
+    return rows.join(names, F.col("component") == F.col("of")).select("doc_id", "component_id")
+
+
+def first_of_groups(docs, id_col="doc_id", text_col="text"):
+    """One row of each component, as given: the smallest identifier, null last, and of several such rows one."""
+    rows = grouped(docs, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = rows.select("row", "doc_id", "component").groupBy("component").agg(F.min(order)["row"].alias("first"))
+    first = kept(first.select("first"), "first")
+    return rows.join(first, F.col("row") == F.col("first"), "left_semi").select("given.*")

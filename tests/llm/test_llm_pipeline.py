@@ -4,22 +4,16 @@ from collections import Counter, defaultdict
 from hashlib import md5
 
 import corpus_pipeline
-from leakgauge.llm import contamination, quality, simhash
+from leakgauge.llm import contamination, quality
 from leakgauge.llm.store import table
-from test_llm_copies import components_of, plain_fingerprint
 from test_llm_mixing_shards import jump, water_filled
+from test_llm_similar import least_of
 from test_llm_text import edit_distance
 
 
 def near_kept(docs):
-    marks = {d: plain_fingerprint(r["text"]) for d, r in docs.items()}
-    distinct = sorted(set(marks.values()))
-    pairs = [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1:] if (a ^ b).bit_count() <= simhash.RADIUS]
-    root = components_of(distinct, pairs)
-    least = {}
-    for d, m in marks.items():
-        least[root[m]] = min(d, least.get(root[m], d))
-    return {d: r for d, r in docs.items() if least[root[marks[d]]] == d}
+    least = least_of([(d, r["text"]) for d, r in docs.items()])
+    return {d: r for (d, r), name in zip(docs.items(), least) if name == d}
 
 
 def uncontaminated(docs, items):

@@ -3,8 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
-import test_llm_pipeline
 from leakgauge.llm import similar
 from leakgauge.llm.store import table
 from test_llm_copies import components_of
@@ -68,11 +68,43 @@ def test_groups_against_brute_force(spark, awkward, awkward_rows, nothing, sf_di
     assert similar.similar_groups(nothing).count() == 0
 
 
-def test_all_stages_with_the_rule(spark, sf_dir, monkeypatch):
-    """The plain versions of the other stages, with near duplicates by five words and 0.8."""
-    def near_kept(docs):
-        least = least_of([(d, r["text"]) for d, r in docs.items()])
-        return {d: r for (d, r), name in zip(docs.items(), least) if name == d}
-
-    monkeypatch.setattr(test_llm_pipeline, "near_kept", near_kept)
-    test_llm_pipeline.test_stages_against_plain_versions(spark, sf_dir)
+def test_one_row_of_a_group_stays_whatever_its_identifier(spark):
+    """Null and repeated identifiers, clashing columns, a very long pair."""
+    rng = random.Random(2)
+    base, other, long = passage(rng, 80), passage(rng, 60), passage(rng, 60_000)
+    rows = [(None, base), (None, base), (3, base + " end"), (3, base), (3, other), (None, passage(rng, 40)), (9, long), (8, long + " more words")]
+    rows += [(None, "null twice"), (None, "null twice"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, t in rows], "doc_id long, text string, gone_id int, mark int, row int, given int, component int")
+    got = corpus_pipeline.distinct_documents(spark, docs, None)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(kept) == 6 and (8, rows[7][1]) in kept and (3, other) in kept and (5, None) in kept and rows[5] in kept
+    assert [i for i, t in kept if t in (base, base + " end")] == [3] and (None, "null twice") in kept
+
+
+def test_hot_group_of_near_copies_verifies_few_pairs(spark, monkeypatch):
+    """Copies of one text with changed words: links grow with the group, and tiles change nothing."""
+    rng = random.Random(4)
+    base = passage(rng, 100)
+    rows = [(i, edited(rng, base, rng.randint(1, 6))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counted, verify = [], similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda pairs, sets: counted.append(pairs.count()) or verify(pairs, sets))
+    monkeypatch.setattr(similar, "TILE", 64)
+    got = dict(similar.similar_groups(docs).collect())
+    assert got == dict(zip(range(400), least_of(rows)))
+    assert sum(counted) < 400 * 40
+
+
+@pytest.mark.parametrize("words", [12, 30, 200])
+def test_fingerprints_keep_similar_pairs(words):
+    rng = random.Random(words)
+    apart = lambda a, b: int(np.bitwise_count(similar.fingerprint(a) ^ similar.fingerprint(b)).sum())
+    near, far = [], []
+    for _ in range(60):
+        base = passage(rng, words)
+        a = similar.shingle_set(base)
+        b = similar.shingle_set(base + " " + passage(rng, max(1, words // 6)))
+        near.append(apart(a, b) <= (similar.WITHIN_SMALL if min(len(a), len(b)) < similar.SMALL else similar.WITHIN) or len(a) < 0.8 * len(b))
+        far.append(apart(a, similar.shingle_set(passage(rng, words))) > 700)
+    assert all(near) and all(far)
