@@ -21,10 +21,8 @@ def good_documents(spark, docs, sf_dir):
 
 
 def distinct_documents(spark, docs, sf_dir):
-    """One document of each group of near duplicates (five-word shingles, 0.8), the one with the smallest identifier."""
-    groups = similar.similar_groups(docs)
-    gone = groups.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """One row of each group of near duplicates (SimHash over five-word shingles, 0.8), that of the smallest identifier."""
+    return similar.first_of_groups(docs)
 
 
 def clean_documents(spark, docs, sf_dir):
