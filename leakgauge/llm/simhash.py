@@ -86,7 +86,7 @@ def close_pairs(a, b, radius=RADIUS, chunk=256):
         yield i[near], j[near]
 
 
-class _Forest:
+class Forest:
     """Union of a task's rows; says which links join two parts."""
 
     def __init__(self, n):
@@ -108,7 +108,7 @@ def _bucket_links(pdf):
     marks = pdf["mark"].to_numpy(np.int64).view(np.uint64)
     left = np.flatnonzero(pdf["side"].to_numpy() != 1)
     right = np.flatnonzero(pdf["side"].to_numpy() != 0)
-    forest, out = _Forest(len(marks)), []
+    forest, out = Forest(len(marks)), []
     for i, j in close_pairs(marks[left], marks[right]):
         out += [(x, y) for x, y in zip(left[i].tolist(), right[j].tolist()) if x != y and forest.join(x, y)]
     signed = pdf["mark"].to_numpy(np.int64)

@@ -9,10 +9,11 @@ counts only after the whole shingle sets were compared. Texts with equal sets ar
 the same nodes are one bucket.
 
 A bucket is never compared whole at once: first its nodes are compared with one of them, then with another, and what
-verified links have joined is left out from then on. The rest is compared through pivot distance tables: distances to
-`PIVOTS` fingerprints of the bucket itself; a pair whose coordinates differ by more than `WITHIN` somewhere goes without
-a look at its bits. Buckets over `TILE` rows are dealt as pairs of tiles. So a large group of near copies costs its size in
-pairs that are verified; only nodes that fingerprints put near 0.8 and that no chain of links joins are compared each.
+verified links have joined is left out from then on. The rest is compared where it meets, through pivot distance tables:
+distances to `PIVOTS` fingerprints of the bucket itself; a pair whose coordinates differ by more than `WITHIN` somewhere
+goes without a look at its bits, survivors are verified on their sets at once, and a task returns a spanning forest of its
+links. Buckets over `TILE` rows or `TILE_SHINGLES` shingles are dealt as pairs of tiles. So no step returns more pairs than
+it has rows, whatever the size of a group.
 
 Defined cases: a null text counts as empty; texts without words are one node; fewer words than a shingle give one
 shingle; case is folded for A-Z; very long texts are hashed in runs; repeated rows are documents of their own; a null
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from .components import component_of
+from .simhash import Forest
 from .store import kept, send_package
 
 SHINGLE, SIMILARITY, BANDS, ROWS, STARS = 5, 0.8, 64, 10, 2
-WORDS, WITHIN, WITHIN_SMALL, SMALL, PIVOTS, TILE = 32, 368, 448, 16, 8, 2048
+WORDS, WITHIN, WITHIN_SMALL, SMALL, PIVOTS, TILE, TILE_SHINGLES = 32, 368, 448, 16, 8, 2048, 4_000_000
 _RANDOM = np.random.default_rng(5)
 _FACTOR = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
 _SHIFT = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
@@ -89,12 +91,11 @@ def _signatures(texts: pd.Series) -> pd.DataFrame:
     })
 
 
-@F.pandas_udf(StructType().add("mark", BinaryType()).add("bits", BinaryType()).add("shingles", ArrayType(LongType())))
+@F.pandas_udf(StructType().add("bits", BinaryType()).add("shingles", ArrayType(LongType())))
 def _sets(texts: pd.Series) -> pd.DataFrame:
     sets = [shingle_set(t) for t in texts]
     return pd.DataFrame({
-        "mark": [hashlib.md5(s.tobytes()).digest() for s in sets], "bits": [fingerprint(s).tobytes() for s in sets],
-        "shingles": [s.view(np.int64) for s in sets],
+        "bits": [fingerprint(s).tobytes() for s in sets], "shingles": [s.view(np.int64) for s in sets],
     })
 
 
@@ -159,41 +160,52 @@ def near_pairs(rows, left, right):
         yield i, j[apart(j, i) <= within]
 
 
-def _tile_pairs(pdf):
-    side, node = pdf["side"].to_numpy(), pdf["node"].to_numpy()
-    found = [(min(node[i], k), max(node[i], k)) for i, j in near_pairs(pdf, np.flatnonzero(side != 1), np.flatnonzero(side != 0)) for k in node[j]]
-    return pd.DataFrame(np.array(sorted(set(found)), np.int64).reshape(-1, 2), columns=["a", "b"])
-
-
-def _rest(open_rows):
-    """The pairs of near fingerprints that are left: those of a bucket's nodes in different components."""
-    sizes = open_rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+def _tile_links(pdf):
+    """Spanning links of a bucket's rows, one of each tile: near fingerprints in different components with similar sets."""
+    side, node, sets = pdf["side"].to_numpy(), pdf["node"].tolist(), pdf["shingles"].tolist()
+    forest, found = Forest(len(node)), []
+    for _, same in pdf.groupby("component").indices.items():
+        for i in same[1:]:
+            forest.join(int(same[0]), int(i))
+    for i, near in near_pairs(pdf, np.flatnonzero(side != 1), np.flatnonzero(side != 0)):
+        for j in near.tolist():
+            if forest.root(int(i)) != forest.root(j):
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common * 5 >= (len(sets[i]) + len(sets[j]) - common) * 4:  # SIMILARITY
+                    forest.join(int(i), j)
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
+    return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
+def _rest(open_rows, sets):
+    """What links a bucket's nodes that are still in different components; every near pair of them is compared."""
+    sizes = open_rows.groupBy("key").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("size") / TILE_SHINGLES, F.lit(1.0))).alias("tiles"))
     rows = open_rows.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
-        "key", "node", "size", "component", "bits", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
+    dealt = rows.join(sets.select("node", "shingles"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
+        "key", "node", "size", "component", "bits", "shingles", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
         F.when(F.col("tile") < F.col("other"), 0).when(F.col("tile") > F.col("other"), 1).otherwise(2).alias("side"))
-    return dealt.groupBy("key", "low", "high").applyInPandas(_tile_pairs, "a long, b long").distinct()
+    return kept(dealt.groupBy("key", "low", "high").applyInPandas(_tile_links, "a long, b long"), "similar")
 
 
 def links(shared, sets):
     """Verified links (a, b) that join all nodes of the buckets `shared` (key, node, size, bits) that similarity joins."""
     found, tested = None, None
     linked = shared.sparkSession.createDataFrame([], "linked_node long, component long")
-    for turn in range(STARS + 1):
-        open_rows = kept(_placed(shared, linked), "open")
-        pairs = _star(open_rows, turn) if turn < STARS else _rest(open_rows)
+    for turn in range(STARS):
+        pairs = _star(kept(_placed(shared, linked), "open"), turn)
         pairs = kept(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = _verified(pairs, sets)
         found = new if found is None else found.unionByName(new)
-        if turn < STARS:
-            linked = component_of(found).withColumnRenamed("node", "linked_node")
-    return found
+        linked = component_of(found).withColumnRenamed("node", "linked_node")
+    rest = _rest(kept(_placed(shared, linked), "open"), sets)
+    return rest if found is None else found.unionByName(rest)
 
 
 def buckets_of(nodes):
-    """(key, node, size) of the buckets with several nodes; of buckets with the same nodes one is left."""
-    rows = nodes.select("node", "size", F.explode("keys").alias("key"))
+    """(key, node) of the buckets with several nodes; of buckets with the same nodes one is left."""
+    rows = nodes.select("node", F.explode("keys").alias("key"))
     several = rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
     several = kept(several.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "buckets")
@@ -201,36 +213,35 @@ def buckets_of(nodes):
 
 
 def grouped(docs, id_col="doc_id", text_col="text"):
-    """Per row: a number of its own, the row as it was given (`given`), its identifier and the number of its component."""
+    """The rows as given (`given`) with a number of their own (`row`), and (row, doc_id, component) without the texts."""
     send_package(docs.sparkSession)
     given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given"))
     numbered = given.withColumn("row", F.monotonically_increasing_id())
     text = F.col("given")[text_col]
     marked = numbered.withColumn("s", _signatures(text)).select("row", "given", "s.*")
     marked = kept(marked.withColumn("doc_id", F.col("given")[id_col]), "signatures")  # written once, so numbers stay
-    nodes = marked.groupBy("mark", "size").agg(F.min("row").alias("node"), F.first("keys").alias("keys"))
-    nodes = kept(nodes, "nodes")
+    nodes = kept(marked.groupBy("mark", "size").agg(F.min("row").alias("node"), F.first("keys").alias("keys")), "nodes")
     shared = buckets_of(nodes)
-    wanted = kept(nodes.join(shared.select("node").distinct(), "node").select("node"), "wanted")
-    texts = marked.join(wanted, F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), _sets(text).alias("s"))
-    sets = kept(texts.select("node", "s.bits", "s.shingles"), "sets")
-    linked = component_of(links(shared.join(sets.select("node", "bits"), "node"), sets))
+    wanted = kept(nodes.join(shared.select("node").distinct(), "node").select("node", "size"), "wanted")
+    texts = marked.select("row", "given").join(wanted, F.col("row") == F.col("node")).select("node", "size", _sets(text).alias("s"))
+    sets = kept(texts.select("node", "size", "s.bits", "s.shingles"), "sets")
+    linked = component_of(links(shared.join(sets.select("node", "size", "bits"), "node"), sets))
     named = nodes.join(linked, nodes.node == linked.node, "left").select(
         F.col("mark").alias("of"), F.coalesce("component", nodes.node).alias("component"))
-    return marked.join(named, F.col("mark") == F.col("of")).select("row", "given", "doc_id", "component")
+    narrow = marked.select("row", "doc_id", "mark").join(named, F.col("mark") == F.col("of")).select("row", "doc_id", "component")
+    return marked.select("row", "given"), kept(narrow, "grouped")
 
 
 def similar_groups(docs, id_col="doc_id", text_col="text"):
     """Per document: the smallest identifier of its component."""
-    rows = kept(grouped(docs, id_col, text_col).select("doc_id", "component"), "grouped")
+    _, rows = grouped(docs, id_col, text_col)
     names = rows.groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"))
     return rows.join(names, F.col("component") == F.col("of")).select("doc_id", "component_id")
 
 
 def first_of_groups(docs, id_col="doc_id", text_col="text"):
     """One row of each component, as given: the smallest identifier, null last, and of several such rows one."""
-    rows = grouped(docs, id_col, text_col)
+    given, rows = grouped(docs, id_col, text_col)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    first = rows.select("row", "doc_id", "component").groupBy("component").agg(F.min(order)["row"].alias("first"))
-    first = kept(first.select("first"), "first")
-    return rows.join(first, F.col("row") == F.col("first"), "left_semi").select("given.*")
+    first = kept(rows.groupBy("component").agg(F.min(order)["row"].alias("first")).select("first"), "first")
+    return given.join(first, F.col("row") == F.col("first"), "left_semi").select("given.*")
