@@ -34,7 +34,7 @@ def with_window_features(
     width = window_micros(window_seconds)
     keys, order = list(keys), list(order)
     columns = df.columns
-    layout = layout or choose_layout(df, keys, limit)
+    layout = layout or choose_layout(df, limit)
     if not layout.chunked:
         # One exchange serves both windows below.
         df = df.repartition(*keys)
@@ -60,8 +60,11 @@ def with_window_features(
     now = step(F.col(time), 0, 1, starts, row, own_time)
     later = step(F.col(time) + width, 1, -1, ends, F.lit(None).cast(_type_of(df, row)), F.lit(None).cast("bigint"))
     steps = marked.select(*keys, F.explode(F.array(now, later)).alias("s")).select(*keys, "s.*")
+    # The borders of the sweep need the steps' times only, not what the first pass adds.
+    both = F.array(F.struct(F.col(time).alias("__at"), F.lit(0).alias("__kind")), F.struct((F.col(time) + width).alias("__at"), F.lit(1).alias("__kind")))
+    plain_steps = df.select(*keys, *(c.alias(n) for n, c in arrival.items()), F.explode(both).alias("s")).select(*keys, "s.*", *arrival)
     swept = with_running(
-        steps, keys, ["__at", "__kind", *arrival], layout,
+        steps, keys, ["__at", "__kind", *arrival], layout, borders_from=plain_steps,
         query_frequency=running_sum(F.col("__count")),
         unique_subdomains=running_sum(F.col("__distinct")),
         __previous=last_known(F.col("__time")),  # expiry steps hold no time, so this skips them

@@ -1,17 +1,19 @@
 """Running values along an ordered group, for groups of any size.
 
 A plain window function sends a whole group to one task. That is the cheapest plan while every group
-fits, and the wrong one when a single client, domain or capture holds a large share of all rows. So the
-largest group is measured first (one pre-aggregated count), and above a limit the rows are cut into
-ordered chunks instead:
-
-1. range-partition by group and order key, so that a hot group spans many partitions;
-2. checkpoint, which freezes the partition number of every row;
-3. compute the running value inside each (chunk, group) with an ordinary window;
-4. add what the earlier chunks of the same group bring. Only a group that crosses a chunk border needs
-   this, so that table has at most one row per chunk, and is broadcast.
-
-The order key must identify a row within its group, otherwise ties come in no fixed order.
+fits, and the wrong one when a single client, domain or capture holds a large share of all rows. Unless
+a table is known to be small, groups above a limit are therefore cut into ordered chunks:
+
+1. one aggregate counts the groups and draws order keys by their hash, about `DRAWN` per limit; the keys
+   of a group over the limit, sorted, are its borders;
+2. every row finds its chunk among its group's borders by binary search; chunks depend on the rows'
+   contents alone, so what a lost executor took with it comes out the same again, without a checkpoint;
+3. compute the running value inside each (group, chunk) with an ordinary window;
+4. add what the earlier chunks of the same group bring.
+
+Borders and carried values have at most `DRAWN` entries per `limit` rows of the table, which bounds what
+is broadcast. Nothing runs before the query itself does. The order key must identify a row within its
+group, otherwise ties come in no fixed order.
 """
 
 from dataclasses import dataclass
@@ -19,9 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, Window as W
 from pyspark.sql import functions as F
 
-from leakgauge.session import ensure_checkpoint_dir, shuffle_width
-
-ROWS_PER_TASK = 4_000_000
+#: Rows of a group that one task may hold; order keys that are drawn per so many rows; a table of fewer bytes is small.
+ROWS_PER_TASK, DRAWN, SMALL_BYTES = 4_000_000, 8, 256 << 20
+#: Steps of the binary search: a group may have twice as many borders as the first.
+_STEPS = [1 << p for p in range(22, -1, -1)]
 
 
 @dataclass(frozen=True)
@@ -59,41 +62,57 @@ def highest_before(value):
 
 @dataclass(frozen=True)
 class Layout:
-    """How rows are spread: whole groups per task, or ordered chunks."""
+    """How rows are spread: whole groups per task, or groups over `rows` rows in ordered chunks."""
 
     chunked: bool
-    chunks: int = 0
+    rows: int = ROWS_PER_TASK
 
 
-def choose_layout(df, group, limit=ROWS_PER_TASK):
-    """Measure rows and largest group in one pass; whole groups are kept together only up to the limit."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    total, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    if largest <= limit:
+def choose_layout(df, limit=ROWS_PER_TASK):
+    """Whole groups if the optimiser's estimate of the table is small, else chunks; runs nothing."""
+    if limit >= ROWS_PER_TASK and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES:
         return Layout(False)
-    return Layout(True, max(shuffle_width(df.sparkSession), 2, -(-total // limit)))
+    return Layout(True, limit)
 
 
 def layout_if_small(source, limit=ROWS_PER_TASK):
     """Whole groups if the source of a table has few rows (a count from file footers), else undecided.
 
-    Saves ``choose_layout`` from working out the table only to count it. The source must have at least as
-    many rows as the table.
+    An estimate grows with every join above the source; a count of the source does not. The source must
+    have at least as many rows as the table.
     """
     return Layout(False) if source.count() <= limit else None
 
 
-def with_running(df, group, order, layout=None, limit=ROWS_PER_TASK, **values):
+def with_running(df, group, order, layout=None, limit=ROWS_PER_TASK, borders_from=None, **values):
     """Add one column per running value.
 
-    ``group`` and ``order`` are column names, the order ascending.
+    ``group`` and ``order`` are column names, the order ascending. ``borders_from`` may name a table with
+    the same groups and order keys that is cheaper to work out than ``df``.
     """
     group, order = list(group), list(order)
-    layout = layout or choose_layout(df, group, limit)
+    layout = layout or choose_layout(df, limit)
     if not layout.chunked:
         window = W.partitionBy(*group).orderBy(*order) if group else W.orderBy(*order)
         return df.withColumns({name: _local(run, window) for name, run in values.items()})
-    return _chunked(df, group, order, layout.chunks, values)
+    return _chunked(df, group, order, group_borders(df if borders_from is None else borders_from, group, order, layout.rows), values)
+
+
+def group_borders(df, group, order, rows):
+    """One row (`__h0`, ..., `__borders`) per group of over `rows` rows: the order keys at which it is cut, sorted."""
+    drawn = F.pmod(F.xxhash64(*group, *order), F.lit(max(1, rows // DRAWN))) == 0
+    found = df.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("__n"), F.sort_array(F.collect_list(F.when(drawn, F.struct(*order)))).alias("__borders"))
+    return found.where(F.col("__n") > rows).select(*(F.col(g).alias(f"__h{i}") for i, g in enumerate(group)), "__borders")
+
+
+def _chunk(borders, key):
+    """How many of the sorted borders are at most the key."""
+    def search(at, step):
+        beyond = at + step
+        return F.when((beyond <= F.size(borders)) & (F.get(borders, beyond - 1) <= key), beyond).otherwise(at)
+
+    return F.when(borders.isNotNull(), F.aggregate(F.array(*map(F.lit, _STEPS)), F.lit(0), search)).otherwise(0)
 
 
 def _local(run, window):
@@ -134,22 +153,22 @@ def _carried(run, name, window):
     return F.max(name).over(before)
 
 
-def _chunked(df, group, order, chunks, values):
-    ensure_checkpoint_dir(df.sparkSession)
-    rows = (
-        df.repartitionByRange(chunks, *group, *order)
-        .withColumn("__chunk", F.spark_partition_id())
-        .checkpoint()
-    )
-    sums = rows.groupBy("__chunk", *group).agg(*(_summary(run, order).alias(name) for name, run in values.items()))
-    if group:
-        along, in_group = W.partitionBy(*group).orderBy("__chunk"), W.partitionBy(*group)
-    else:
-        along, in_group = W.orderBy("__chunk"), W.partitionBy(F.lit(0))
-    # Groups inside one chunk pass nothing on; the others number fewer than the chunks.
-    border = sums.withColumn("__spans", F.count(F.lit(1)).over(in_group)).where("__spans > 1")
-    carry = border.select(
-        "__chunk",
+def _same(left, right, group, prefix):
+    match = F.lit(True)
+    for i, g in enumerate(group):
+        match = match & left[g].eqNullSafe(right[f"{prefix}{i}"])
+    return match
+
+
+def _chunked(df, group, order, hot, values):
+    placed = df.join(F.broadcast(hot), _same(df, hot, group, "__h"), "left").drop(*(hot[f"__h{i}"] for i in range(len(group))))
+    rows = placed.withColumn("__chunk", _chunk(F.col("__borders"), F.struct(*order)))
+    cut = rows.where("__borders is not null").drop("__borders")
+    rows = rows.drop("__borders")
+    sums = cut.groupBy("__chunk", *group).agg(*(_summary(run, order).alias(name) for name, run in values.items()))
+    along = W.partitionBy(*group).orderBy("__chunk") if group else W.orderBy("__chunk")
+    carry = sums.select(
+        F.col("__chunk").alias("__of_chunk"),
         *(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)),
         *(_carried(run, name, along).alias(f"__c_{name}") for name, run in values.items()),
     )
@@ -159,10 +178,8 @@ def _chunked(df, group, order, chunks, values):
         "__first": F.row_number().over(window) == 1,
         "__last": F.lead(F.lit(1)).over(window).isNull(),
     })
-    match = local["__chunk"] == carry["__chunk"]
-    for i, g in enumerate(group):
-        match = match & local[g].eqNullSafe(carry[f"__g{i}"])
-    joined = local.join(F.broadcast(carry), match, "left").drop(carry["__chunk"])
+    match = (F.col("__chunk") == F.col("__of_chunk")) & _same(local, carry, group, "__g")
+    joined = local.join(F.broadcast(carry), match, "left")
     return joined.withColumns({name: _combine(run, name) for name, run in values.items()}).select(
         *df.columns, *values
     )

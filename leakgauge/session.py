@@ -35,7 +35,3 @@ def ensure_checkpoint_dir(spark):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-
-
-def shuffle_width(spark):
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

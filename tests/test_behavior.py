@@ -134,3 +134,22 @@ def test_sums_over_nulls_do_not_depend_on_the_layout(spark):
         {(r.g, r.i): r.s for r in with_running(df, ["g"], ["i"], limit=limit, s=running_sum(F.col("v"))).collect()} for limit in (100, 2)
     )
     assert plain == cut and plain["a", 0] is None and plain["a", 4] == 1 and plain["b", 7] is None
+
+
+def test_chunks_follow_the_rows_and_nothing_runs_before_the_query(spark):
+    """Borders depend on contents alone: any partitioning gives the same chunks, nothing is written, no job runs early."""
+    from leakgauge.plans import ordered
+
+    rows = [(f"g{i % 11 if i % 3 else 0}", i * 7919 % 5000, i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g string, t long, i long")
+    spark.sparkContext.setJobGroup("early", "early")
+    cut = with_running(df, ["g"], ["t", "i"], limit=100, s=running_sum(F.col("i")))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("early")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    borders = [
+        {r["__h0"]: r["__borders"] for r in ordered.group_borders(d, ["g"], ["t", "i"], 100).collect()} for d in (df, df.repartition(7))
+    ]
+    assert borders[0] == borders[1] and len(borders[0]["g0"]) > len(borders[0]["g1"]) > 4
+    plain = with_running(df, ["g"], ["t", "i"], ordered.Layout(False), s=running_sum(F.col("i")))
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, plain.collect()))
+    assert "Checkpoint" not in cut._jdf.queryExecution().toString()
