@@ -17,7 +17,7 @@ from leakgauge.plans.ordered import ROWS_PER_TASK, highest_before, with_running
 
 ARRIVAL = ("batch_seq", "epoch_us", "seq")
 KEYS = ("capture_id", *GROUP_KEYS)
-LATE = "older_than_history"
+LATE, NO_CAPTURE = "older_than_history", "missing_capture"
 ADDED = [
     T.StructField("query_frequency", T.IntegerType()),
     T.StructField("unique_subdomains", T.IntegerType()),
@@ -38,48 +38,85 @@ def window_counts(times, subdomains, width):
     return frequency, distinct
 
 
+#: Time buckets a window is divided into; parts of a bucket before they are folded into one; rows of a group at a time.
+BUCKETS, FOLD, SLICE = 16, 16, 100_000
+
+
 class History(StatefulProcessor):
-    """Per group: the entries of the last window and the time of the last accepted record."""
+    """Per group: the entries of the last window in time buckets, and the time of the last accepted record.
+
+    A batch appends one part to each bucket it has rows for and removes the buckets that left the window, so what is
+    written grows with the new rows and not with the window. A bucket of ``FOLD`` parts is folded into one. A large group
+    goes through in slices of ``SLICE`` rows.
+    """
 
     def __init__(self, width, late, ttl_ms):
         self.width, self.late, self.ttl_ms = width, late, ttl_ms
+        self.bucket = -(-width // BUCKETS)
 
     def init(self, handle):
-        self.entries = handle.getListState("entries", "us bigint, subdomain string", self.ttl_ms)
-        self.last = handle.getValueState("last", "us bigint", self.ttl_ms)
+        self.entries = handle.getMapState("entries", "bucket bigint, part bigint", "us array<bigint>, subdomain array<string>", self.ttl_ms)
+        self.last = handle.getValueState("last", "us bigint, parts bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows), ignore_index=True)  # one group of one micro-batch
         batch = batch.sort_values(list(ARRIVAL), kind="stable", ignore_index=True)
-        last = self.last.get()[0] if self.last.exists() else None
+        for start in range(0, len(batch), SLICE):
+            yield self._slice(key, batch.iloc[start:start + SLICE].reset_index(drop=True))
+
+    def _held(self):
+        """The parts of the window by (bucket, part), in order."""
+        return sorted((tuple(k), v) for k, v in self.entries.iterator())
+
+    def _store(self, held, times, names, parts):
+        """Append the new entries to their buckets, fold buckets of many parts, remove those that left the window."""
+        by_bucket = {}
+        for (bucket, part), value in held:
+            if (bucket + 1) * self.bucket <= times[-1] - self.width:
+                self.entries.removeKey((bucket, part))
+            else:
+                by_bucket.setdefault(bucket, []).append((part, value))
+        buckets = times // self.bucket
+        starts = np.flatnonzero(np.diff(buckets, prepend=buckets[0] - 1))
+        for begin, end in zip(starts, [*starts[1:], len(times)]):
+            bucket, us, subdomains = int(buckets[begin]), times[begin:end].tolist(), names[begin:end]
+            if (bucket + 1) * self.bucket <= times[-1] - self.width:
+                continue
+            old = by_bucket.get(bucket, [])
+            if len(old) >= FOLD:
+                for part, _ in old:
+                    self.entries.removeKey((bucket, part))
+                us = [t for _, v in old for t in v[0]] + us
+                subdomains = [n for _, v in old for n in v[1]] + subdomains
+            self.entries.updateValue((bucket, parts), (us, subdomains))
+        self.last.update((int(times[-1]), parts + 1))
+
+    def _slice(self, key, batch):
+        last, parts = self.last.get() if self.last.exists() else (None, 0)
         times = batch["epoch_us"].to_numpy(np.int64)
         floor = np.iinfo(np.int64).min if last is None else last
         accepted = times >= np.maximum.accumulate(np.maximum(times, floor))
         if self.late == "fail" and not accepted.all():
             raise ValueError(f"a record of {key} is older than its history")
-        held = list(self.entries.get()) if self.entries.exists() else []
-        old_times = np.array([e[0] for e in held], dtype=np.int64)
-        good = batch[accepted]
-        all_times = np.concatenate([old_times, good["epoch_us"].to_numpy(np.int64)])
-        all_names = [e[1] for e in held] + good["subdomain"].tolist()
         out = batch.assign(query_frequency=0, unique_subdomains=0, time_interval=np.nan, status="rejected")
+        good = batch[accepted]
         if len(good):
-            frequency, distinct = window_counts(all_times, all_names, self.width)
+            held = self._held()
+            fresh, names = good["epoch_us"].to_numpy(np.int64), good["subdomain"].tolist()
+            old_times = np.array([t for _, v in held for t in v[0]], dtype=np.int64)
+            frequency, distinct = window_counts(np.concatenate([old_times, fresh]), [n for _, v in held for n in v[1]] + names, self.width)
             new = len(old_times)
-            seconds = good["epoch_us"].to_numpy() / 1e6
+            seconds = fresh / 1e6
             first = FIRST_INTERVAL if last is None else seconds[0] - last / 1e6
             out.loc[accepted, "query_frequency"] = frequency[new:]
             out.loc[accepted, "unique_subdomains"] = distinct[new:]
             out.loc[accepted, "time_interval"] = np.concatenate([[first], np.diff(seconds)])
             out.loc[accepted, "status"] = "accepted"
-            newest = int(all_times[-1])
-            keep = int(np.searchsorted(all_times, newest - self.width, side="left"))
-            self.entries.put([(int(t), n) for t, n in zip(all_times[keep:], all_names[keep:])])
-            self.last.update((newest,))
+            self._store(held, fresh, names, parts)
         for name in ("query_frequency", "unique_subdomains"):
             out[name] = out[name].where(out["status"] == "accepted").astype("Int32")
         out["time_interval"] = out["time_interval"].astype("Float64")
-        yield out
+        return out
 
     def close(self):
         pass
@@ -116,12 +153,17 @@ def replayed_window_features(rows, window_seconds=WINDOW_SECONDS, limit=ROWS_PER
 
 
 def parse_stream(raw):
-    """Parsed rows of a sensor stream; those without a readable time keep a problem code."""
+    """Parsed rows of a sensor stream; those without a readable time or without a capture keep a problem code.
+
+    A batch that names no capture cannot be told from another sensor's: it has no history of its own and must not share
+    one, so its rows are counted as problems like unreadable ones.
+    """
     from leakgauge.functions.domain import with_domain_parts
 
     flagged = with_problem(raw.withColumn("label", F.lit(0)))
     named = flagged.withColumns({
         "requested_server_name": F.col("normal_name"),
-        "problem": F.when(F.col("epoch_us").isNull(), "bad_timestamp"),
+        "problem": F.when(F.col("epoch_us").isNull(), "bad_timestamp").when(
+            F.trim(F.coalesce("capture_id", F.lit(""))) == "", NO_CAPTURE),
     }).drop("normal_name", "label")
     return with_domain_parts(named)

@@ -3,12 +3,14 @@ import os
 import random
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from leakgauge.plans.forest import Bundle
 from leakgauge.sources.json import explode_batches, sensor_stream
-from leakgauge.streaming import live
+from leakgauge.streaming import history, live
 from leakgauge.streaming.history import parse_stream, replayed_window_features, stream_window_features
 from leakgauge.streaming.throttle import emitted, throttled
 
@@ -194,3 +196,95 @@ def test_rejection_sample(spark):
     late = spark.createDataFrame([("a", 4, "rejected"), ("a", 5, "accepted")], "capture_id string, seq bigint, status string")
     bad = spark.createDataFrame([("a", 9, "bad_timestamp")], "capture_id string, seq bigint, problem string")
     assert [(r.seq, r.error) for r in live.rejection_sample(late, bad).collect()] == [(9, "bad_timestamp"), (4, "older_than_history")]
+
+
+class Held:
+    """State of one group in memory; counts what is written."""
+
+    def __init__(self):
+        self.value, self.map, self.written = None, {}, 0
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getMapState
+
+    def iterator(self):
+        return iter(list(self.map.items()))
+
+    def removeKey(self, key):
+        del self.map[key]
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+        self.written += len(value[0])
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def group_batches(rng, batches, rows, span):
+    at = 0
+    for number in range(batches):
+        out = []
+        for seq in range(rows):
+            at += rng.randrange(span)
+            out.append((number, at, seq, f"n{rng.randrange(40)}"))
+        yield pd.DataFrame(out, columns=["batch_seq", "epoch_us", "seq", "subdomain"])
+
+
+@pytest.mark.parametrize("slice_rows, span", [(100_000, 40), (7, 40), (100_000, 4000)])
+def test_state_in_buckets_equals_one_list(monkeypatch, slice_rows, span):
+    monkeypatch.setattr(history, "SLICE", slice_rows)
+    frames = list(group_batches(random.Random(span), 60, 20, span))
+    group, state = history.History(9_000, "reject", None), Held()
+    group.init(state)
+    got = pd.concat([out for f in frames for out in group.handleInputRows(("a",), iter([f]), None)], ignore_index=True)
+    whole = pd.concat(frames, ignore_index=True)
+    frequency, distinct = history.window_counts(whole["epoch_us"].to_numpy(), whole["subdomain"].tolist(), 9_000)
+    assert got["query_frequency"].tolist() == frequency.tolist() and got["unique_subdomains"].tolist() == distinct.tolist()
+    newest = whole["epoch_us"].iloc[-1]
+    assert all((b + 1) * group.bucket > newest - 9_000 for b, _ in state.map)
+    assert state.written <= 3 * len(whole) * (5 if slice_rows < 100 else 1)
+
+
+def test_a_window_of_many_rows_is_not_written_again():
+    frames = list(group_batches(random.Random(1), 40, 500, 10))
+    group, state = history.History(10**9, "reject", None), Held()
+    group.init(state)
+    before = []
+    for f in frames:
+        start = state.written
+        list(group.handleInputRows(("a",), iter([f]), None))
+        before.append(state.written - start)
+    assert sorted(before)[len(before) // 2] == 500 and sum(before) < 4 * 40 * 500
+
+
+def test_a_million_rows_of_one_group_in_one_batch():
+    n = 1_000_000
+    frame = pd.DataFrame({"batch_seq": 0, "epoch_us": np.arange(n) // 3, "seq": np.arange(n), "subdomain": [f"n{i % 1000}" for i in range(n)]})
+    group, state = history.History(300_000, "fail", None), Held()
+    group.init(state)
+    rows = 0
+    for out in group.handleInputRows(("a",), (frame.iloc[i:i + 10_000] for i in range(0, n, 10_000)), None):
+        rows += len(out)
+        assert out["status"].eq("accepted").all()
+    assert rows == n and out["query_frequency"].iloc[-1] == int((frame["epoch_us"] >= frame["epoch_us"].iloc[-1] - 300_000).sum())
+    assert out["unique_subdomains"].iloc[-1] == 1000
+
+
+def test_rows_without_a_capture_share_no_history(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    put(source, 1, None, [query(1)])
+    put(source, 2, " ", [query(2)])
+    put(source, 3, "a", [query(3)])
+    parsed = parse_stream(sensor_stream(spark, str(source)))
+    got = run(spark, parsed.select("batch_seq", "problem"), tmp_path, "captures")
+    assert sorted(map(tuple, got.collect())) == [(1, "missing_capture"), (2, "missing_capture"), (3, None)]
