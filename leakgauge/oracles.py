@@ -537,8 +537,6 @@ _add("alert_digest", DNS, "al AS (SELECT * FROM dns WHERE score >= 0.7::DOUBLE)"
   (SELECT string_agg(apex_domain, ',' ORDER BY m) FROM (SELECT apex_domain, min(row_id) AS m FROM al GROUP BY ALL ORDER BY m LIMIT 3)) AS domains,
   (SELECT string_agg(src_ip, ',' ORDER BY m) FROM (SELECT src_ip, min(row_id) AS m FROM al GROUP BY ALL ORDER BY m LIMIT 3)) AS hosts FROM al""")
 
-_add("forest_scores", DNS, select="SELECT row_id, host_label::INTEGER AS label, true AS is_probability, true AS decision_fits FROM dns")
-ORACLES["forest_importances"] = "SELECT 10::BIGINT AS features, 10::INTEGER AS last_rank, 1.0::DOUBLE AS total, true AS none_negative"
 TOTALS = "count(*) FILTER (label = 1) AS attacks, count(*) FILTER (label = 0) AS benign"
 _add("forest_selection", DNS, HOST, shuffled("hosts"), select=f"""SELECT c::INTEGER AS candidate, threshold, {TOTALS}
   FROM parted, (SELECT unnest([0, 1]) AS c), (SELECT unnest([0.3, 0.5, 0.7]::DOUBLE[]) AS threshold) WHERE split = 'validation' GROUP BY ALL""")
@@ -552,8 +550,7 @@ _add("held_out_experiment", DNS, HOST, folds(3), f"""held AS (SELECT * FROM host
   scoped AS (SELECT 'pooled' AS scope, label FROM held UNION ALL SELECT 'big_domain', label FROM held WHERE apex_domain = (FROM big))""",
      select=f"SELECT scope, model, {TOTALS} FROM scoped, (SELECT unnest(['before', 'after']) AS model) GROUP BY ALL")
 _add("replay_checks", DNS, select="""SELECT count(*) AS rows, true AS labels_identical, true AS predictions_identical, true AS scores_identical,
-  true AS complete_histories FROM dns""")
-_add("batch_scores", DNS, select="SELECT row_id AS seq, true AS tier_fits, true AS verdict_fits, true AS alert_fits FROM dns")
+  true AS complete_histories, true AS metrics_identical, 0::BIGINT AS changed_features FROM dns""")
 _add("fast_burst_run", DNS, select="""SELECT -1::INTEGER AS gap_ms, count(*) AS rows, count(DISTINCT host) AS domains, true AS recalls_are_shares
   FROM dns WHERE host_label = 1 UNION ALL SELECT unnest([1, 250])::INTEGER, NULL, NULL, true""")
 _add("csv_log_scan", DNS, "sizes AS (SELECT label, count(*) AS rows FROM dns GROUP BY ALL)", select="""SELECT label::INTEGER AS label, s.rows AS rows, true AS has_names,

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from leakgauge.contract import (
-    FAST_GAP_SECONDS, GROUP_KEYS, RETIME_ORIGIN_US, SWEEP_GAPS_MS, WINDOW_SECONDS, DataError,
+    FAST_GAP_SECONDS, GROUP_KEYS, MODEL_FEATURES, RETIME_ORIGIN_US, SWEEP_GAPS_MS, WINDOW_SECONDS, DataError,
 )
 from leakgauge.functions.verdict import rule_prediction
 from leakgauge.operators.behavior import retime
@@ -193,16 +193,34 @@ def compare_detectors(saved, features, rule=None, votes=2):
     return classification_metrics(both, by=["detector"])
 
 
-def replay_checks(saved, source_features, bundle):
-    """Recompute the predictions of saved rows and tell, check by check, whether they still hold."""
+def replay_checks(saved, source_features, bundle, saved_metrics=None, saved_features=None):
+    """Recompute what was saved of a run and tell, check by check, whether it still holds.
+
+    ``saved`` holds predictions; ``saved_metrics`` one row of counts and rates as ``classification_metrics`` gives them;
+    ``saved_features`` (row_id and model features) is compared with the recomputed ones row by row. What was not saved
+    is not reported.
+    """
     again = with_prediction(join_predictions(
         saved.withColumnsRenamed({"prediction": "saved_prediction", "score": "saved_score", "label": "saved_label"})
         .drop("apex_domain"), source_features
     ), bundle.model, bundle.threshold)
     broken = incomplete_histories(again, source_features).agg(F.count(F.lit(1)).alias("n")).scalar()
-    return again.agg(
+    checks = again.agg(
         F.count(F.lit(1)).alias("rows"),
         (F.count_if(~F.col("label").eqNullSafe(F.col("saved_label"))) == 0).alias("labels_identical"),
         (F.count_if(~F.col("prediction").eqNullSafe(F.col("saved_prediction"))) == 0).alias("predictions_identical"),
         (F.count_if(~F.col("score").eqNullSafe(F.col("saved_score"))) == 0).alias("scores_identical"),
     ).withColumn("complete_histories", broken == 0)
+    if saved_metrics is not None:
+        found = classification_metrics(again.select("label", "prediction"))
+        names = [c for c in saved_metrics.columns if c in found.columns]
+        same = found.select(*(F.col(c).cast("double") for c in names)).exceptAll(saved_metrics.select(*(F.col(c).cast("double") for c in names)))
+        checks = checks.withColumn("metrics_identical", same.agg((F.count(F.lit(1)) == 0).alias("ok")).scalar())
+    if saved_features is not None:
+        now = source_features.select(F.col("row_id").alias("now_id"), *(F.col(f).cast("double").alias(f"now_{f}") for f in MODEL_FEATURES))
+        both = saved_features.join(now, F.col("row_id") == F.col("now_id"), "full")
+        changed = ~(F.col("row_id").eqNullSafe(F.col("now_id")))
+        for f in MODEL_FEATURES:
+            changed = changed | ~F.col(f).cast("double").eqNullSafe(F.col(f"now_{f}"))
+        checks = checks.withColumn("changed_features", both.agg(F.count_if(changed).alias("n")).scalar())
+    return checks

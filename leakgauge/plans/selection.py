@@ -1,9 +1,12 @@
 """Choosing a forest and a threshold on out-of-fold scores, under a false-positive policy."""
 
+import hashlib
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark import StorageLevel
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from leakgauge.contract import SCORE_THRESHOLDS, DataError
@@ -118,16 +121,42 @@ def best_policy_trial(trials):
     return best[0]
 
 
-def out_of_fold_scores(rows, specs, folds):
-    """Every row scored once per candidate, by a forest that saw none of its domain."""
-    parts = []
-    for trial_id, spec in enumerate(specs, start=1):
-        for fold in range(folds):
+#: Forests that are fitted at the same time: their many short jobs leave most of a cluster idle when they run in turn.
+FITS_AT_ONCE = 4
+
+
+def at_once(spark, tasks, workers=FITS_AT_ONCE):
+    """Results of the tasks in their order, a bounded number of them running at a time."""
+    with ThreadPoolExecutor(workers) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]]
+
+
+def _finished(spark, path):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def out_of_fold_scores(rows, specs, folds, store=None, workers=FITS_AT_ONCE):
+    """Every row scored once per candidate, by a forest that saw none of its domain.
+
+    With ``store``, a folder that the cluster shares and that belongs to these rows, each (candidate, fold) is written
+    there when it is done; a run that was stopped goes on from what it finds.
+    """
+    spark = rows.sparkSession
+
+    def scored(trial_id, spec, fold):
+        path = store and f"{store}/{hashlib.md5(repr(spec).encode()).hexdigest()}-{fold}-of-{folds}"
+        if not store or not _finished(spark, path):
             model = fit_forest(complement(rows, fold), spec)
-            held_out = with_score(rows.where(F.col("fold") == fold), model)
-            parts.append(held_out.select(
-                F.lit(trial_id).alias("trial_id"), "fold", "row_id", "apex_domain", "label", "score"
-            ))
+            held_out = with_score(rows.where(F.col("fold") == fold), model).select("fold", "row_id", "apex_domain", "label", "score")
+            if store:
+                held_out.write.mode("overwrite").parquet(path)
+        found = spark.read.parquet(path) if store else held_out
+        return found.select(F.lit(trial_id).alias("trial_id"), "fold", "row_id", "apex_domain", "label", "score")
+
+    parts = at_once(spark, [
+        partial(scored, trial_id, spec, fold) for trial_id, spec in enumerate(specs, start=1) for fold in range(folds)
+    ], workers)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -142,10 +171,11 @@ class Selected:
     scores: object
 
 
-def select_by_groups(features, specs=None, folds=3, seed=42, policy=Policy(), thresholds=SCORE_THRESHOLDS):
+def select_by_groups(features, specs=None, folds=3, seed=42, policy=Policy(), thresholds=SCORE_THRESHOLDS, store=None):
     """Domain-disjoint cross-validation over candidates and thresholds.
 
-    The prepared rows are kept (memory, then disk) because every fit reads them again.
+    The prepared rows are kept (memory, then disk) because every fit reads them again. ``store`` as in
+    ``out_of_fold_scores``.
     """
     specs = specs or regular_grid(seed=seed)
     own = features.storageLevel == StorageLevel.NONE
@@ -153,7 +183,7 @@ def select_by_groups(features, specs=None, folds=3, seed=42, policy=Policy(), th
     fold_map = require_both_classes(domain_folds(features, folds, seed))
     rows = require_disjoint(with_fold(model_input(features), fold_map), "fold")
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    scores = out_of_fold_scores(rows, specs, folds).persist(StorageLevel.MEMORY_AND_DISK)
+    scores = out_of_fold_scores(rows, specs, folds, store).persist(StorageLevel.MEMORY_AND_DISK)
     trials = policy_trials(scores, policy, thresholds)
     best = best_policy_trial(trials)
     rows.unpersist()
@@ -167,7 +197,7 @@ def select_by_validation(train, validation, specs=None, thresholds=(0.3, 0.5, 0.
     specs = specs or wide_grid()
     train = model_input(train).persist(StorageLevel.MEMORY_AND_DISK)
     validation = model_input(validation)
-    models = [fit_forest(train, spec) for spec in specs]
+    models = at_once(train.sparkSession, [partial(fit_forest, train, spec) for spec in specs])
     scored = reduce(lambda a, b: a.unionByName(b), [
         with_score(validation, m).select(F.lit(i).alias("candidate"), "label", "score") for i, m in enumerate(models)
     ])
@@ -175,11 +205,12 @@ def select_by_validation(train, validation, specs=None, thresholds=(0.3, 0.5, 0.
     best = trials.orderBy(
         F.desc("f1"), "false_positive_rate", F.desc("recall"), F.desc("precision"), "candidate", "threshold"
     ).first()
+    train.unpersist()
     return models[best["candidate"]], specs[best["candidate"]], best["threshold"], trials
 
 
-def nested_evaluation(features, specs=None, outer=5, inner=3, seed=42, policy=Policy(), thresholds=SCORE_THRESHOLDS):
-    """Outer folds scored by models that were selected without them.
+def nested_evaluation(features, specs=None, outer=5, inner=3, seed=42, policy=Policy(), thresholds=SCORE_THRESHOLDS, store=None):
+    """Outer folds scored by models that were selected without them. ``store`` as in ``out_of_fold_scores``.
 
     Features are derived once for all folds: folds hold whole domains, and a history never crosses domains.
     """
@@ -189,7 +220,8 @@ def nested_evaluation(features, specs=None, outer=5, inner=3, seed=42, policy=Po
     parts, chosen = [], []
     for fold in range(outer):
         development = complement(rows, fold, "outer_fold")
-        selected = select_by_groups(development, specs, inner, seed, policy, thresholds)
+        selected = select_by_groups(development, specs, inner, seed, policy, thresholds, store and f"{store}/outer-{fold}")
+        selected.scores.unpersist()
         model = fit_forest(model_input(development), selected.spec)
         parts.append(with_prediction(rows.where(F.col("outer_fold") == fold), model, selected.threshold))
         chosen.append((selected.spec, selected.threshold))

@@ -838,24 +838,17 @@ def policy_trials(spark, sf_dir):
 
 @query
 def forest_scores(spark, sf_dir):
-    """Every row scored by a forest of the published size; scores are probabilities, decisions fit them."""
+    """Every row scored by a forest of the published size; the library's trees cannot be grown in SQL, so there is none."""
     rows = views.host_features(spark, sf_dir)
     model = forest.fit_forest(forest.model_input(rows), PUBLISHED)
-    return forest.with_prediction(rows, model, 0.5).select(
-        "row_id", "label", F.col("score").between(0, 1).alias("is_probability"),
-        (F.col("prediction") == (F.col("score") >= 0.5).cast("int")).alias("decision_fits"),
-    )
+    return forest.with_prediction(rows, model, 0.5).select("row_id", "label", "score", "prediction")
 
 
 @query
 def forest_importances(spark, sf_dir):
-    """Ten importances that are not negative and add up to one; their values depend on the library's trees."""
+    """The ten importances of a forest of the published size, by rank."""
     rows = views.host_features(spark, sf_dir)
-    ranked = forest.importances(spark, forest.fit_forest(forest.model_input(rows), QUICK))
-    return ranked.agg(
-        F.count_distinct("feature").alias("features"), F.max("rank").alias("last_rank"), F.round(F.sum("importance"), 6).alias("total"),
-        F.bool_and(F.col("importance") >= 0).alias("none_negative"),
-    )
+    return forest.importances(spark, forest.fit_forest(forest.model_input(rows), PUBLISHED))
 
 
 @query
@@ -961,25 +954,25 @@ def detector_comparison(spark, sf_dir):
 
 @query
 def replay_checks(spark, sf_dir):
+    """Saved predictions, metrics and features of a forest of the published size, each worked out again."""
     rows = views.host_features(spark, sf_dir)
-    model = forest.fit_forest(forest.model_input(rows), QUICK)
+    model = forest.fit_forest(forest.model_input(rows), PUBLISHED)
     saved = forest.with_prediction(rows, model, 0.5).select("row_id", "apex_domain", "label", "prediction", "score")
-    return experiments.replay_checks(saved, rows, forest.Bundle(model, 0.5))
+    path = stored(spark, saved.write.parquet)
+    saved = spark.read.parquet(path)
+    features = spark.read.parquet(stored(spark, forest.model_input(rows).select("row_id", *MODEL_FEATURES).write.parquet))
+    return experiments.replay_checks(saved, rows, forest.Bundle(model, 0.5), metrics.classification_metrics(saved), features)
 
 
 # ---------------------------------------------------------------- scoring and streams
 
 @query
 def batch_scores(spark, sf_dir):
+    """A batch in its order, as a forest of the published size judges it."""
     rows = views.host_features(spark, sf_dir)
-    bundle = forest.Bundle(forest.fit_forest(forest.model_input(rows), QUICK), 0.5, 21600.0)
+    bundle = forest.Bundle(forest.fit_forest(forest.model_input(rows), PUBLISHED), 0.5, 21600.0)
     raw = csv.canonical(views.raw_queries(spark, sf_dir)).withColumnRenamed("row_id", "seq")
-    scored = scoring.score_batch(raw, bundle)
-    tier = F.when(F.col("score") >= 0.5, "CRITICAL").otherwise("LOW")
-    return scored.select(
-        "seq", (F.col("risk_label") == tier).alias("tier_fits"), ((F.col("verdict") == "suspicious") == (F.col("score") >= 0.5)).alias("verdict_fits"),
-        (F.col("alert_id").isNotNull() == (F.col("prediction") == 1)).alias("alert_fits"),
-    )
+    return scoring.score_batch(raw, bundle).select("seq", "score", "prediction", "verdict", "risk_label", "alert_id")
 
 
 @query

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from leakgauge.contract import DataError
+from leakgauge.contract import MODEL_FEATURES, DataError
 from leakgauge.operators import links, splits
 from leakgauge.plans import cleaning, experiments, forest, scoring, selection
 from leakgauge.plans.forest import Bundle
@@ -188,3 +188,46 @@ def test_detectors_are_compared_on_the_same_rows(burst_rows):
     saved = features.select("row_id", "label", F.col("label").alias("prediction"))
     rows = {r.detector: r for r in experiments.compare_detectors(saved, features.drop("label")).collect()}
     assert rows["model"].f1 == 1.0 and rows["rule"].tp + rows["rule"].fn == 180
+
+
+def test_replay_reports_a_changed_metric_and_a_changed_feature(spark, burst_rows, tiny_model):
+    from leakgauge.operators.metrics import classification_metrics
+    from leakgauge.plans.forest import model_input, with_prediction
+
+    features = cleaning.derive_features(burst_rows).where("row_id is not null")
+    bundle = Bundle(tiny_model, 0.5)
+    saved = with_prediction(features, tiny_model, 0.5).select("row_id", "apex_domain", "label", "prediction", "score")
+    scored, table = classification_metrics(saved), model_input(features).select("row_id", *MODEL_FEATURES)
+    check = lambda m, f: experiments.replay_checks(saved, features, bundle, m, f).first()
+    same = check(scored, table)
+    assert same.metrics_identical is True and same.changed_features == 0
+    other = table.withColumn("entropy", F.when(F.col("row_id") == table.first().row_id, 9.5).otherwise(F.col("entropy")))
+    moved = check(scored.withColumn("tp", F.col("tp") + 1), other)
+    assert moved.metrics_identical is False and moved.changed_features == 1
+    assert check(scored, table.limit(3)).changed_features == features.count() - 3
+
+
+def test_a_stopped_selection_goes_on(spark, burst_rows, tmp_path, monkeypatch):
+    from leakgauge.plans.forest import ForestSpec, model_input
+
+
+    rows = model_input(cleaning.derive_features(burst_rows)).withColumn("fold", (F.col("row_id") % 2).cast("int")).cache()
+    specs = [ForestSpec(depth=2, leaf=5, trees=2), ForestSpec(depth=3, leaf=5, trees=2)]
+    fitted, fit = [], selection.fit_forest
+
+    def stops(df, spec):
+        fitted.append(spec)
+        if len(fitted) == 3:
+            raise RuntimeError("stopped")
+        return fit(df, spec)
+
+    monkeypatch.setattr(selection, "fit_forest", stops)
+    with pytest.raises(RuntimeError, match="stopped"):
+        selection.out_of_fold_scores(rows, specs, 2, str(tmp_path / "scores"), workers=1)
+    # One worker takes the tasks in order; those after the failure still ran and were kept.
+    done = len(fitted) - 1
+    found = selection.out_of_fold_scores(rows, specs, 2, str(tmp_path / "scores"), workers=1)
+    assert len(fitted) == done + 2 and found.count() == 2 * rows.count()
+    whole = selection.out_of_fold_scores(rows, specs, 2)
+    key = lambda df: sorted((r.trial_id, r.row_id, round(r.score, 12)) for r in df.collect())
+    assert key(found) == key(whole)
