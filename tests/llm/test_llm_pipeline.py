@@ -66,3 +66,14 @@ def test_stages_take_awkward_rows_and_keep_their_columns(spark, awkward, nothing
 
 def test_stage_names_are_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
+
+
+def test_columns_named_like_helpers_pass(spark, sf_dir):
+    """Names that the stages use themselves, and rows without an identifier."""
+    rows = [(i if i % 4 else None, f"word{i} " * (i + 1), f"s{i % 2}", 1, 2, 3, 4, 5, 6) for i in range(12)]
+    names = "doc_id long, text string, source string, gone_id int, mix_id int, mix_size int, mix_times int, given int, mix_turn int"
+    docs = spark.createDataFrame(rows, names)
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        assert {r.doc_id for r in out.collect()} <= {r[0] for r in rows}
