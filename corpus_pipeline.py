@@ -1,8 +1,8 @@
 """A corpus from raw documents in five stages: quality, near duplicates, benchmark passages, mixing, shards.
 
 Every stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next
-one's documents. All but the last return the columns they were given. Identifiers name documents: rows that share one
-stay or go together. Nulls, empty texts and other columns pass as the operators' modules define; an empty table stays
+one's documents. All but the last return the columns they were given. Of a group of near duplicates one row stays, whatever
+its identifier; in the mix, rows that agree in identifier, source and size share their copies. Nulls, empty texts and other columns pass as the operators' modules define; an empty table stays
 empty.
 """
 
@@ -36,9 +36,10 @@ def mixed_documents(spark, docs, sf_dir):
     times = F.size(F.filter("copies", lambda c: (c.words * 2 >= F.col("size")) & ((c.words > 0) | (c.turn == 0))))
     by_id = queued.groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(
         F.ceil(F.sum(times) / F.count(F.lit(1))).cast("int").alias("mix_times")).where("mix_times > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source"))
-    joined = docs.join(by_id, same & (words_in(F.col("text")) == F.col("mix_size")))
-    return joined.withColumn("mix_turn", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*(docs[c] for c in docs.columns))
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given"))  # no name of theirs meets ours
+    same = F.col("given.doc_id").eqNullSafe(F.col("mix_id")) & F.col("given.source").eqNullSafe(F.col("mix_source"))
+    joined = given.join(by_id, same & (words_in(F.col("given.text")) == F.col("mix_size")))
+    return joined.withColumn("mix_turn", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("given.*")
 
 
 def sharded_documents(spark, docs, sf_dir):
