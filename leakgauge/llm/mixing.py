@@ -1,12 +1,13 @@
 """Mixing sources to target weights by weighted fair queueing (native expressions only).
 
 Every source is a queue of shuffled documents. A document's virtual finish time is the number of words of its source up
-to and with it, divided by the source's target; documents are served in the order of that time until the total budget
-is used up. A source whose target exceeds its size starts over, at most `REPEATS` times in all.
+to and with it, divided by the source's target; the copies of all sources form one queue, sorted over the whole table by
+that time, which is cut where the total budget is used up. A source whose target exceeds its size starts over, at most
+`REPEATS` times in all.
 
 Defined cases: a null text has size 0; null is a source of its own and comes last; a document of size 0 takes nothing;
-repeated rows are served one by one; rows that agree in identifier, source and size are interchangeable; an empty table
-gives an empty mix; other columns are ignored.
+repeated rows are served one by one, and rows alike in identifier, text and source are interchangeable; a very long text
+is a number here and is served in two pieces if need be; an empty table gives an empty mix; other columns are ignored.
 """
 
 from functools import reduce
@@ -14,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .running import bucketed, with_total_before
+from .running import ROWS_PER_BUCKET, bucketed, with_total_before
 from .store import kept, narrow, words_in
 
 #: Weights by the rank of a source, repeating, and how often a source may be used up.
@@ -51,45 +52,79 @@ def source_targets(sizes, weights=WEIGHTS, repeats=REPEATS):
     return queued.select("source", "source_size", "weight", target.alias("target"))
 
 
-def queued_documents(docs, id_col="doc_id", text_col="text", source_col="source", budget=None):
-    """One row per document with its copies in the mix.
-
-    `copies` holds, for each time the document comes up, the virtual start and finish and the words taken before the
-    budget (by default the sum of the targets) is used up: all sources are served up to the same virtual time, the
-    copy that is being served then is cut there.
-    """
+def with_places(docs, id_col="doc_id", text_col="text", source_col="source", budget=None):
+    """One row per document: its place in its source's queue, the source's target and quota and the total budget."""
     raw = narrow(docs, doc_id=id_col, text=text_col, source=source_col)
-    sizes = kept(raw.select(
-        "doc_id", "source", words_in(F.col("text")).alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("draw"),
-    ), "sizes")
-    targets = source_targets(sizes)
-    until = F.lit(1.0)
-    if budget is not None:
-        until = F.least(F.lit(1.0), F.lit(float(budget)) / F.sum("target").over(Window.partitionBy()))
-    targets = targets.withColumn("quota", F.round(F.col("target") * until).cast("long"))
-    placed = with_total_before(bucketed(sizes, "draw", sizes.count()), ["source"], ["draw", "doc_id", "size"], "size", "start")
-    t = targets.select(F.col("source").alias("of"), "source_size", "weight", "target", "quota")
-    joined = placed.join(t, F.col("source").eqNullSafe(F.col("of"))).drop("of", "bucket", "draw")
-    rounds = F.when(F.col("size") > 0, F.ceil(F.col("target") / F.col("source_size"))).otherwise(1).cast("long")
-
-    def copy(turn):
-        begin = F.col("start") + turn * F.col("source_size")
-        words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("quota") - begin))
-        per_target = F.when(F.col("target") > 0, F.col("target"))
-        return F.struct(
-            turn.alias("turn"), (begin / per_target).alias("virtual_start"),
-            ((begin + F.col("size")) / per_target).alias("virtual_finish"), words.alias("words"),
-        )
-
-    turns = F.sequence(F.lit(0).cast("long"), F.greatest(rounds, F.lit(1).cast("long")) - 1)
-    return joined.withColumn("copies", F.transform(turns, copy))
+    draw = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce("text", F.lit("")))))
+    sizes = kept(raw.select("doc_id", "source", words_in(F.col("text")).alias("size"), draw.alias("draw")), "sizes")
+    everything = Window.partitionBy()
+    targets = source_targets(sizes).withColumn("total", F.sum("source_size").over(everything))
+    if budget is None:
+        targets = targets.withColumn("until", F.lit(1.0))
+    else:
+        targets = targets.withColumns({
+            "until": F.least(F.lit(1.0), F.lit(float(budget)) / F.sum("target").over(everything)),
+            "total": F.least("total", F.lit(int(budget))),
+        })
+    targets = targets.withColumn("quota", F.ceil(F.col("target") * F.col("until")).cast("long")).withColumnRenamed("source", "of")
+    rows = sizes.count()
+    placed = with_total_before(bucketed(sizes, "draw", rows), ["source"], ["draw", "doc_id", "size"], "size", "start")
+    joined = placed.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of", "bucket")
+    return kept(joined, "places"), rows
+
+
+def served(places, rows):
+    """The mix: the copies of all sources in order of virtual finish time, cut where the total budget is used up.
+
+    A copy that is not finished when its source has had its quota is served in two pieces, of which the first finishes at
+    that moment; so all pieces of the queue hold at least the budget, and a long document holds up no other source. Each
+    source finishes its shuffled documents evenly over virtual time, hence ranges of equal width are ranges of about
+    equal rows: the queue is partitioned into them, sorted within each, and totals of earlier ranges come from a table with
+    a row per range. What rounding quotas up has added, less than a word a source, is cut from the end of the queue.
+    """
+    queue = places.where((F.col("size") > 0) & (F.col("start") < F.col("quota")))
+    last_turn = F.floor((F.col("quota") - F.col("start") - 1) / F.col("source_size"))
+    queue = queue.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), last_turn)))
+    queue = queue.withColumn("begin", F.col("start") + F.col("turn") * F.col("source_size"))
+    end = F.col("begin") + F.col("size")
+    finish = F.when(end >= F.col("quota"), F.col("until")).otherwise(F.least(F.col("until"), end / F.col("target")))
+    ranges = max(1, min(1 << 20, rows // ROWS_PER_BUCKET))
+    queue = queue.withColumns({
+        "piece": F.least(F.col("size"), F.col("quota") - F.col("begin")),
+        "virtual_start": F.col("begin") / F.col("target"),
+        "virtual_finish": finish,
+    }).withColumn("bucket", F.floor(F.col("virtual_finish") / F.col("until") * ranges).cast("long"))
+    order = ["virtual_finish", F.col("source").asc_nulls_last(), "draw", "doc_id", "size", "turn"]
+    sorted_queue = with_total_before(queue, [], order, "piece", "before")
+    words = F.greatest(F.lit(0).cast("long"), F.least(F.col("piece"), F.col("total") - F.col("before")))
+    return sorted_queue.withColumn("words", words)
+
+
+def queued_documents(docs, budget=None, **columns):
+    """One row per document with its copies in the mix: turn, virtual start and finish, and the words the mix takes.
+
+    A document that the mix does not reach has no copies; one of size 0 has one of no words.
+    """
+    places, rows = with_places(docs, budget=budget, **columns)
+    copy = lambda turn, start, finish, words: F.struct(
+        turn.cast("long").alias("turn"), start.cast("double").alias("virtual_start"),
+        finish.cast("double").alias("virtual_finish"), words.cast("long").alias("words"))
+    of_document = ["doc_id", "source", "size", "source_size", "weight", "target"]
+    # start tells apart the documents of a source that have words
+    reached = served(places, rows).groupBy(*of_document, "start").agg(F.array_sort(F.collect_list(
+        copy(*(F.col(c) for c in ("turn", "virtual_start", "virtual_finish", "words"))))).alias("copies")).drop("start")
+    none = F.lit(None)
+    empty = F.array(copy(F.lit(0), none, none, F.lit(0)))
+    others = places.where((F.col("size") == 0) | (F.col("start") >= F.col("quota"))).select(
+        *of_document, F.when(F.col("size") == 0, empty).otherwise(F.slice(empty, 1, 0)).alias("copies"))
+    return reached.unionByName(others)
 
 
 def mixed(docs, budget=None, **columns):
     """The mix itself: a row per copy that is taken, globally sorted by virtual finish time."""
-    copies = queued_documents(docs, budget=budget, **columns).select("doc_id", "source", "size", F.explode("copies").alias("c"))
-    return copies.select("doc_id", "source", "size", "c.*").where("words > 0").orderBy("virtual_finish", "source", "doc_id", "turn")
+    copies = served(*with_places(docs, budget=budget, **columns)).where("words > 0")
+    return copies.select("doc_id", "source", "size", "turn", "virtual_start", "virtual_finish", "words").orderBy(
+        "virtual_finish", F.col("source").asc_nulls_last(), "doc_id", "turn")
 
 
 def taken_words(docs, **columns):
@@ -101,7 +136,7 @@ def taken_words(docs, **columns):
 SQL = """
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS draw
+         md5(coalesce(doc_id::VARCHAR, '') || ' ' || md5(coalesce(text, ''))) AS draw
   FROM documents
 ), by_source AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -123,13 +158,23 @@ WITH sizes AS (
          END AS target
   FROM settled
 ), placed AS (
-  SELECT s.*, source_size, target, round(target)::BIGINT AS quota,
+  SELECT s.*, source_size, target, ceil(target)::BIGINT AS quota, row_number() OVER () AS place,
          coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY draw, doc_id, size
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), queue AS (
+  SELECT *, start + turn * source_size AS begin, least(size, quota - start - turn * source_size) AS piece,
+         CASE WHEN start + turn * source_size + size >= quota THEN 1.0::DOUBLE
+              ELSE least(1.0::DOUBLE, (start + turn * source_size + size)::DOUBLE / target) END AS virtual_finish
+  FROM placed, (VALUES (0), (1), (2)) AS turns(turn)
+  WHERE size > 0 AND start + turn * source_size < quota
+), sorted AS (
+  SELECT place, piece, coalesce(sum(piece) OVER (ORDER BY virtual_finish, source NULLS LAST, draw, doc_id, size, turn
+                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM queue
+), words AS (
+  SELECT place, sum(greatest(0, least(piece, (SELECT sum(size) FROM sizes) - before))) AS taken FROM sorted GROUP BY place
 )
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - start - source_size))
-        + greatest(0, least(size, quota - start - 2 * source_size)))::BIGINT AS taken
-FROM placed
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM placed LEFT JOIN words USING (place)
 """

@@ -1,12 +1,11 @@
 """The pipeline stage by stage against plain versions over the smallest given tables."""
 
-from collections import Counter, defaultdict
-from hashlib import md5
+from collections import Counter
 
 import corpus_pipeline
 from leakgauge.llm import contamination, quality
 from leakgauge.llm.store import table
-from test_llm_mixing_shards import jump, water_filled
+from test_llm_mixing_shards import jump, plain_mix
 from test_llm_similar import least_of
 from test_llm_text import edit_distance
 
@@ -24,19 +23,11 @@ def uncontaminated(docs, items):
 
 
 def mixed(docs):
-    sizes, by_source = Counter(), defaultdict(list)
-    for d, r in docs.items():
-        n = len((r["text"] or "").encode().split())
-        sizes[r["source"]] += n
-        by_source[r["source"]].append((md5(str(d).encode()).hexdigest(), d, n))
-    out = Counter()
-    for source, target in water_filled(sizes).items():
-        at = 0
-        for turn in range(3):
-            for _, d, n in sorted(by_source[source]):
-                words = max(0, min(n, round(target) - at))
-                out[d] += (words * 2 >= n) and (words > 0 or turn == 0)
-                at += n
+    rows = [(d, r["text"], r["source"]) for d, r in docs.items()]
+    sizes = [len((text or "").encode().split()) for _, text, _ in rows]
+    out = Counter({d: 1 for (d, _, _), n in zip(rows, sizes) if n == 0})
+    for (i, _), words in plain_mix(rows).items():
+        out[rows[i][0]] += words * 2 >= sizes[i] and words > 0
     return +out
 
 
