@@ -1,5 +1,9 @@
 """Counts, rates and exact rank statistics."""
 
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leakgauge.plans.ordered import ROWS_PER_TASK, running_sum, with_running
@@ -172,8 +176,73 @@ def long_features(df, features, keep=()):
     )
 
 
-def feature_quantiles(df, features, quantiles, by=(), limit=ROWS_PER_TASK):
-    return linear_quantiles(long_features(df, features, by), "value", quantiles, [*by, "feature"], limit)
+#: Rank error of the sketch is one row in ACCURACY; a band reaches MARGIN times as far to both sides of its quantile.
+ACCURACY, MARGIN = 20_000, 4
+
+
+def quantile_bands(df, features, quantiles, by=(), accuracy=ACCURACY):
+    """One row per group, feature and quantile: rows with a value, and bounds between which its neighbours lie.
+
+    One aggregate over the wide rows holds a mergeable sketch per feature, so what is shuffled depends on tasks and groups
+    and not on rows. A bound is null where the band reaches the end.
+    """
+    reach = MARGIN / accuracy
+    edges = sorted({min(1.0, max(0.0, q + side * reach)) for q in quantiles for side in (-1, 1)})
+    sketches = []
+    for i, name in enumerate(features):
+        value = F.col(name).cast("double")
+        sketches += [F.count(value).alias(f"__n{i}"), F.percentile_approx(value, edges, accuracy).alias(f"__e{i}")]
+    edge = lambda i, at: F.lit(None).cast("double") if at <= 0 or at >= 1 else F.col(f"__e{i}")[edges.index(at)]
+    bands = F.array(*(
+        F.struct(F.lit(name).alias("feature"), F.lit(float(q)).alias("quantile"), F.col(f"__n{i}").alias("total"),
+                 edge(i, q - reach).alias("low_edge"), edge(i, q + reach).alias("high_edge"))
+        for i, name in enumerate(features) for q in quantiles
+    ))
+    return df.groupBy(*by).agg(*sketches).select(*by, F.inline(bands)).where("total > 0")
+
+
+def refined_quantiles(df, features, quantiles, by=(), nearest=False, accuracy=ACCURACY, limit=ROWS_PER_TASK):
+    """Exact quantiles of many columns in two passes: sketches give bands, then only the values inside bands are ranked.
+
+    The second pass counts, in the task, the values below and above each band as one number each, and by value those inside it; with a
+    sketch of ``accuracy`` these are at most about 2 * MARGIN / accuracy of the rows. ``nearest`` takes element
+    round((n - 1) * q), otherwise neighbours are interpolated. A quantile whose ranks should lie outside its band is
+    computed from all value counts (``linear_quantiles``, ``nearest_rank_quantiles``); as long as there is none, that branch reads nothing.
+    Values that are null are no rows; a group without values has no quantiles. The table is read twice: give a stored one.
+    """
+    by = list(by)
+    bands = quantile_bands(df, features, quantiles, by, accuracy)
+    keys = [*by, "feature"]
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    per_feature = bands.groupBy(*(F.col(k).alias(names[k]) for k in keys)).agg(
+        F.collect_list(F.struct("quantile", "total", "low_edge", "high_edge")).alias("__bands"))
+    values = long_features(df, features, by).where("value IS NOT NULL")
+    met = values.join(per_feature, reduce(and_, (F.col(k).eqNullSafe(F.col(names[k])) for k in keys)))
+    met = met.select(*keys, "value", F.inline("__bands"))
+    side = F.when(F.col("value") < F.col("low_edge"), -1).when(F.col("value") > F.col("high_edge"), 1).otherwise(0)
+    cells = [*keys, "quantile"]
+    counts = met.groupBy(*cells, "total", side.alias("side"), F.when(side == 0, F.col("value")).alias("value")).agg(
+        F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("upto", F.sum("n").over(
+        Window.partitionBy(*cells).orderBy("side", "value").rowsBetween(Window.unboundedPreceding, 0)))
+    place = (F.col("total") - 1) * F.col("quantile")
+    low, high = (F.bround(place, 0),) * 2 if nearest else (F.floor(place), F.ceil(place))
+    at = lambda rank: F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("value")))
+    ranked = counts.groupBy(*cells).agg(at(low).alias("__low"), at(high).alias("__high"), F.max(place - low).alias("__part"))
+    hit = F.col("__low").isNotNull() & F.col("__high").isNotNull()
+    found = ranked.where(hit).select(
+        *cells, (F.col("__low") + (F.col("__high") - F.col("__low")) * (F.lit(0.0) if nearest else F.col("__part"))).alias("value"))
+    lost = ranked.where(~hit).select(*(F.col(k).alias(names[k]) for k in keys), F.col("quantile").alias("__quantile"))
+    same_key = reduce(and_, (F.col(k).eqNullSafe(F.col(names[k])) for k in keys))
+    again = values.join(lost.drop("__quantile").distinct(), same_key, "left_semi")
+    whole = nearest_rank_quantiles if nearest else linear_quantiles
+    rest = whole(again, "value", quantiles, keys, limit).join(
+        lost, same_key & (F.col("quantile") == F.col("__quantile")), "left_semi")
+    return found.unionByName(rest)
+
+
+def feature_quantiles(df, features, quantiles, by=(), limit=ROWS_PER_TASK, accuracy=ACCURACY):
+    return refined_quantiles(df, features, quantiles, by, accuracy=accuracy, limit=limit)
 
 
 def value_counts(df, column):

@@ -601,7 +601,9 @@ def linear_quantiles(spark, sf_dir):
 
 @query
 def feature_medians(spark, sf_dir):
-    df = metrics.feature_quantiles(views.features(spark, sf_dir), MODEL_FEATURES, (0.5, 0.95, 0.99), ["label"])
+    ensure_checkpoint_dir(spark)
+    stored = views.features(spark, sf_dir).select("label", *MODEL_FEATURES).checkpoint()  # it is read twice
+    df = metrics.feature_quantiles(stored, MODEL_FEATURES, (0.5, 0.95, 0.99), ["label"])
     return rounded(df, "value", places=6)
 
 

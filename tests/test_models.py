@@ -70,6 +70,33 @@ def test_quantiles_against_sorted_lists(spark, limit):
         assert linear[q] == pytest.approx(expected)
 
 
+@pytest.mark.parametrize("accuracy, margin", [(20_000, 4), (40, 4), (40, 0.001)])
+@pytest.mark.parametrize("nearest", [False, True])
+def test_two_pass_quantiles_equal_ranked_values(spark, monkeypatch, accuracy, margin, nearest):
+    """A margin too small for the sketch's error sends quantiles to the exact branch; the answer stays the same."""
+    monkeypatch.setattr(metrics, "MARGIN", margin)
+    rng = random.Random(7)
+    draw = [lambda: rng.random(), lambda: float(rng.randrange(5)), lambda: rng.lognormvariate(0, 9), lambda: None]
+    rows = [(g, draw[0](), None if rng.random() < 0.2 else draw[1](), draw[2 if g == "x" else 3](), None)
+            for g in rng.choices(["x", "y", None], (90, 9, 1), k=4000)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, c double, d double").repartition(5)
+    names, asked = ["a", "b", "c", "d"], (0, 0.01, 0.5, 0.95, 1)
+    full = metrics.nearest_rank_quantiles if nearest else metrics.linear_quantiles
+    as_dict = lambda out: {(r.g, r.feature, r.quantile): r.value for r in out.collect()}
+    want = as_dict(full(metrics.long_features(df, names, ["g"]), "value", asked, ["g", "feature"]))
+    got = as_dict(metrics.refined_quantiles(df, names, asked, ["g"], nearest, accuracy))
+    assert got == want and len(got) == 5 * (3 * 2 + 1)
+    assert metrics.refined_quantiles(df.where("false"), names, asked, ["g"]).count() == 0
+
+
+def test_bands_shuffle_sketches_and_few_rows(spark):
+    df = spark.range(200_000).select(F.hash("id").cast("double").alias("v"), F.lit(1).alias("g"))
+    bands = metrics.quantile_bands(df, ["v"], (0.5,), ["g"]).collect()
+    assert len(bands) == 1 and bands[0].total == 200_000
+    inside = df.where(F.col("v").between(bands[0].low_edge, bands[0].high_edge)).count()
+    assert 0 < inside <= 200_000 * 2 * (metrics.MARGIN + 1) / metrics.ACCURACY
+
+
 def test_row_split_sizes(spark):
     df = spark.range(20).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"))
     got = {(r.split, r.label): r["count"] for r in splits.stratified_split(df).groupBy("split", "label").count().collect()}
