@@ -1,17 +1,22 @@
 """Benchmark decontamination by the q-gram lemma.
 
-An occurrence is a region of a document within edit distance e of a benchmark item, both in lower case and with white
-space runs as one space; e is a tenth of the item's characters. An item of m characters and its occurrence share at
+An occurrence is a region of a document within edit distance e of a benchmark item, both with letters folded and white
+space runs as one space; e is a tenth of the item's characters. A letter is folded if its fold is one code point, in any
+script. An item of m characters and its occurrence share at
 least m - q + 1 - q e q-grams on at most e + 1 diagonals, so shared q-grams are counted in overlapping bands of diagonals,
 bands that reach the bound are kept, and an alignment within the band decides.
 
-Defined cases: null and empty texts and items match nothing; an item of fewer than q characters has no q-gram and is
-left out; a short item has a smaller budget, so that its bound is at least one q-gram; equal items are found each;
-repeated documents are searched each; a text of any length is searched in overlapping pieces; empty tables give no
+Items of fewer than q characters have no q-gram and no edit to spend: they are searched exactly, by hashes of their own
+length, where they stand as whole words. A letter or digit of a script that parts words by spaces (code points below
+U+0E00) must not run on across either end; in other scripts any place counts.
+
+Defined cases: null and empty texts and items match nothing, nor do items of white space; an item of less than 5 q
+characters can have a smaller budget, so that its bound is at least one q-gram; equal items are found each; repeated documents are searched each; a text of any length is searched in overlapping pieces; empty tables give no
 rows; other columns are ignored.
 """
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,11 +36,27 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = np.array([0x20, *range(0x09, 0x0E)], np.uint32)
 
 
+#: Letters with two cases lie below the first; words are parted by spaces below the second.
+_CASED, _SPACED = 0x1F000, 0x0E00
+
+
+@lru_cache(1)
+def _tables():
+    """The folded code point of each code point, and which ones belong to words that spaces part."""
+    folded = np.arange(_CASED, dtype=np.uint32)
+    for code in range(_CASED):
+        for fold in (chr(code).casefold(), chr(code).lower()):
+            if len(fold) == 1:
+                folded[code] = ord(fold)
+                break
+    return folded, np.array([chr(code).isalnum() for code in range(_SPACED)])
+
+
 def normal(text):
-    """Code points in lower case (Latin letters of one code point), runs of white space as one space, and their places."""
+    """Folded code points, runs of white space as one space, and their places."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).copy()
-    upper = ((codes >= 0x41) & (codes <= 0x5A)) | ((codes >= 0xC0) & (codes <= 0xDE) & (codes != 0xD7))
-    codes[upper] += 32
+    cased = codes < _CASED
+    codes[cased] = _tables()[0][codes[cased]]
     blank = (codes == 0x20) | ((codes >= 0x09) & (codes <= 0x0D))
     codes[blank] = 0x20
     stay = ~blank
@@ -46,6 +67,14 @@ def normal(text):
     return codes[edge], places[edge]
 
 
+def short_grams(codes, width):
+    """Hashes of all strings of `width` characters, fewer than q: their code points in 64 bits, exact up to three of them."""
+    h = np.zeros(max(0, len(codes) - width + 1), np.uint64)
+    for k in range(width):
+        h = h * np.uint64(0x110001) + codes[k:len(h) + k].astype(np.uint64) + np.uint64(1)
+    return h
+
+
 def grams(codes):
     """Hashes of all q-grams, by doubling."""
     h, width = (codes.astype(np.uint64) + np.uint64(1)) * _ODD, 1
@@ -75,10 +104,16 @@ class Part:
     item: np.ndarray
     place: np.ndarray
     present: np.ndarray
+    short: dict
 
     @classmethod
     def of(cls, rows, share=BUDGET):
-        rows = [(i, c) for i, c in ((i, normal(t)[0]) for i, t in rows) if len(c) >= Q]
+        every_row = [(i, normal(t)[0]) for i, t in rows]
+        short = {}
+        for i, c in every_row:
+            if 0 < len(c) < Q and c.tolist() != [0x20]:
+                short.setdefault(len(c), {}).setdefault(int(short_grams(c, len(c))[0]), []).append((i, c))
+        rows = [(i, c) for i, c in every_row if len(c) >= Q]
         lengths = np.array([len(c) for _, c in rows], np.int64)
         every = np.concatenate([np.zeros(0, np.uint64), *(grams(c) for _, c in rows)])
         order = np.argsort(every, kind="stable")
@@ -91,6 +126,7 @@ class Part:
         return cls(
             [i for i, _ in rows], [c for _, c in rows], edits, lengths - Q + 1 - Q * edits,
             int((lengths + edits).max(initial=0)), hashes, firsts, sizes, item, place, present,
+            {width: (np.sort(np.array(list(table), np.uint64)), table) for width, table in short.items()},
         )
 
 
@@ -174,9 +210,32 @@ def _text_of(codes):
     return codes.astype(np.uint32).tobytes()
 
 
+def short_occurrences(part, codes):
+    """(item, start, end) of the short items that stand in the text as whole words; regions of one item do not overlap."""
+    if not part.short:
+        return
+    spaced = _tables()[1]
+    wordy = np.zeros(len(codes) + 2, bool)
+    wordy[1:-1] = spaced[np.minimum(codes, _SPACED - 1)] & (codes < _SPACED)
+    runs_on = wordy[:-1] & wordy[1:]  # at k: a word goes on from character k - 1 to character k
+    for width, (hashes, table) in part.short.items():
+        h = short_grams(codes, width)
+        at = np.flatnonzero(~runs_on[:len(h)] & ~runs_on[width:width + len(h)])
+        known = np.searchsorted(hashes, h[at])
+        known[known == len(hashes)] = 0
+        end = {}
+        for k in at[hashes[known] == h[at]].tolist():
+            for number, (i, item) in enumerate(table[int(h[k])]):
+                slot = (int(h[k]), number)
+                if k >= end.get(slot, 0) and np.array_equal(codes[k:k + width], item):
+                    end[slot] = k + width
+                    yield i, k, k + width
+
+
 def occurrences(part, text):
     """(item, start, end, distance) of the regions of a text, as offsets of its characters; one per place and item."""
     codes, places = normal(text)
+    out = [(i, int(places[a]), int(places[b - 1]) + 1, 0) for i, a, b in short_occurrences(part, codes)]
     found = {}
     step = max(PIECE, 2 * part.longest)
     for begin in range(0, max(1, len(codes)), step):
@@ -191,7 +250,6 @@ def occurrences(part, text):
                 distance, a, b = hit
                 span = (distance, begin + low + a, begin + low + b)
                 found.setdefault(i, []).append(span)
-    out = []
     for i, spans in found.items():
         taken = []
         for distance, a, b in sorted(set(spans)):

@@ -3,11 +3,11 @@
 from collections import Counter
 
 import corpus_pipeline
-from leakgauge.llm import contamination, quality
+from leakgauge.llm import quality
 from leakgauge.llm.store import table
 from test_llm_mixing_shards import jump, plain_mix
 from test_llm_similar import least_of
-from test_llm_text import edit_distance
+from test_llm_text import holds, plain
 
 
 def near_kept(docs):
@@ -16,10 +16,8 @@ def near_kept(docs):
 
 
 def uncontaminated(docs, items):
-    plain = lambda t: " ".join((t or "").lower().split())
     items = [plain(t) for t in items]
-    return {d: r for d, r in docs.items() if all(
-        len(i) < contamination.Q or edit_distance(i, plain(r["text"])) > contamination.budget(len(i)) for i in items)}
+    return {d: r for d, r in docs.items() if not any(holds(i, plain(r["text"])) for i in items)}
 
 
 def mixed(docs):

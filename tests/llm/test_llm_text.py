@@ -109,6 +109,26 @@ def edit_distance(item, text):
     return int(cost.min())
 
 
+def plain(text):
+    """Letters folded where the fold is one code point, white space as one space."""
+    fold = lambda c: next((f for f in (c.casefold(), c.lower()) if len(f) == 1), c)
+    return " ".join("".join(map(fold, text or "")).split(None))
+
+
+def words_only(item, text):
+    """Whether a short item stands in the text and no word runs on across its ends."""
+    word = lambda c: c.isalnum() and ord(c) < 0x0E00
+    ends = lambda k: 0 < k < len(text) and word(text[k - 1]) and word(text[k])
+    return any(text.startswith(item, k) and not ends(k) and not ends(k + len(item)) for k in range(len(text)))
+
+
+def holds(item, text):
+    """Whether a folded text holds a folded item."""
+    if len(item) < contamination.Q:
+        return bool(item) and words_only(item, text)
+    return bool(text) and edit_distance(item, text) <= contamination.budget(len(item))
+
+
 def noisy(rng, text, edits):
     chars = list(text)
     for _ in range(edits):
@@ -132,13 +152,7 @@ def test_contamination_equals_plain_alignment(spark, nothing):
             docs.append((len(docs) + 10, line(30) + " " + noisy(rng, t, edits).upper().replace(" ", " \n", 3) + " " + line(rng.randint(0, 60))))
     docs.append((900, docs[10][1] + items[0][1] + items[94 - 90 + 25][1]))
     docs.append((None, items[1][1]))
-    plain = lambda t: " ".join((t or "").lower().split())
-    want = set()
-    for d, t in docs:
-        for i, item in items:
-            item = plain(item)
-            if len(item) >= contamination.Q and t and edit_distance(item, plain(t)) <= contamination.budget(len(item)):
-                want.add((d, i))
+    want = {(d, i) for d, t in docs for i, item in items if holds(plain(item), plain(t))}
     d = spark.createDataFrame([(i, t, 5, "s") for i, t in docs], "doc_id long, text string, item_id int, distance string")
     b = spark.createDataFrame([(i, t, 5) for i, t in items], "item_id long, text string, doc_id int")
     got = contamination.contaminated(d, b).collect()
@@ -151,6 +165,29 @@ def test_contamination_equals_plain_alignment(spark, nothing):
     assert contamination.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_short_items_and_letters_of_any_script(spark):
+    rng = random.Random(12)
+    short = ["a", "Ж", "42", "yes", "ΝΑΙ", "ночь", "C++", "a b", "ab cd e", "東京", "日", "-", " ", "ſo", "aa"]
+    long = ["Съешь же ещё этих мягких французских булок, да выпей чаю", "ΞΕΣΚΕΠΑΖΩ ΤΗΝ ΨΥΧΟΦΘΟΡΑ ΒΔΕΛΥΓΜΙΑ ΤΟΥ ΟΔΟΣ ΚΟΣΜΟΣ",
+            "Zażółć gęślą jaźń, pchnąć w tę łódź jeża lub ośm skrzyń fig", "ΣΊΣΥΦΟΣ Ώ"]
+    items = [*enumerate([*short, *long, "YES"])]
+    texts = [None, "", *short, *long, *(t.upper() for t in long), *(t.lower() for t in long), "yesterday no", "no, yes.", "A\n\tB", "xa b",
+             "a aa aaa aaaa", "-aa-aa aa", "東京大学は日本", "eyes YES yes", "ΟΝΑΙ ναι", "НОЧЬю", "ab  CD e", "c+++", "c++", "142 42 4 2", "SO so"]
+    letters = "aA bB жЖ νΝ ς Σ σ 42 - 東 日 ſ s"
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    texts += [noisy(rng, rng.choice(long).upper(), 4) + " " + rng.choice(short) for _ in range(20)]
+    docs = [*enumerate(texts)]
+    want = {(d, i) for d, t in docs for i, item in items if holds(plain(item), plain(t))}
+    got = contamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                                     spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert len(want) > 100
+    names = dict(items)
+    for r in got:
+        if len(plain(names[r.item_id])) < contamination.Q:
+            assert plain(texts[r.doc_id][r.start:r.end]) == plain(names[r.item_id]) and r.distance == 0
+
+
 def test_pieces_and_parts_change_nothing(spark, monkeypatch):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 7)))
