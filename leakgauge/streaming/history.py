@@ -17,6 +17,13 @@ from leakgauge.plans.ordered import ROWS_PER_TASK, highest_before, with_running
 
 ARRIVAL = ("batch_seq", "epoch_us", "seq")
 KEYS = ("capture_id", *GROUP_KEYS)
+
+
+def history_keys(rows):
+    """Keys of a history; where captures are remembered by recency, also the batch it began with."""
+    return (*KEYS, *(c for c in ("history_since",) if c in rows.columns))
+
+
 LATE, NO_CAPTURE = "older_than_history", "missing_capture"
 ADDED = [
     T.StructField("query_frequency", T.IntegerType()),
@@ -131,7 +138,7 @@ def stream_window_features(rows, window_seconds=WINDOW_SECONDS, late="reject", t
     if late not in ("reject", "fail"):
         raise ValueError("late must be 'reject' or 'fail'")
     schema = T.StructType([*rows.schema.fields, *ADDED])
-    return rows.groupBy(*KEYS).transformWithStateInPandas(
+    return rows.groupBy(*history_keys(rows)).transformWithStateInPandas(
         History(window_micros(window_seconds), late, ttl_ms),
         outputStructType=schema,
         outputMode="Append",
@@ -145,10 +152,11 @@ def replayed_window_features(rows, window_seconds=WINDOW_SECONDS, limit=ROWS_PER
     A record is late exactly if an earlier arrival of its group has a later time, because rejected records
     never raise that maximum.
     """
-    ordered = with_running(rows, KEYS, ARRIVAL, limit=limit, __highest=highest_before(F.col("epoch_us")))
+    keys = history_keys(rows)
+    ordered = with_running(rows, keys, ARRIVAL, limit=limit, __highest=highest_before(F.col("epoch_us")))
     late = F.coalesce(F.col("epoch_us") < F.col("__highest"), F.lit(False))
     marked = ordered.withColumn("__late", late).drop("__highest")
-    swept = with_window_features(marked, KEYS, window_seconds, ("batch_seq", "seq"), limit=limit, ignored="__late")
+    swept = with_window_features(marked, keys, window_seconds, ("batch_seq", "seq"), limit=limit, ignored="__late")
     return swept.withColumn("status", F.when(F.col("__late"), "rejected").otherwise("accepted")).drop("__late")
 
 
