@@ -153,3 +153,30 @@ def test_chunks_follow_the_rows_and_nothing_runs_before_the_query(spark):
     plain = with_running(df, ["g"], ["t", "i"], ordered.Layout(False), s=running_sum(F.col("i")))
     assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, plain.collect()))
     assert "Checkpoint" not in cut._jdf.queryExecution().toString()
+
+
+def test_no_row_carries_all_borders_of_its_group(spark):
+    """Two levels of about the root of the borders each; the chunks are those of one list of all of them."""
+    from leakgauge.plans import ordered
+
+    rows = [(f"g{i % 3}" if i % 50 else None, i * 7919 % 6000, i) for i in range(6000)] + [("cold", 1, -1), ("cold", 2, -2)]
+    df = spark.createDataFrame(rows, "g string, t long, i long")
+    hot = ordered.group_borders(df, ["g"], ["t", "i"], 16).persist()
+    tops, leaves = ordered._levels(hot, ["g"])
+    most = hot.agg(F.max(F.size("__borders"))).first()[0]
+    assert most > 500 and tops.agg(F.max(F.size("__tops"))).first()[0] < 2 * most ** 0.5 and leaves.agg(F.max(F.size("__leaf"))).first()[0] < 2 * most ** 0.5
+    borders = {r["__h0"]: [tuple(b) for b in r["__borders"]] for r in hot.collect()}
+    got = ordered._with_chunk(df, ["g"], ["t", "i"], hot).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["__hot"] == (r["g"] in borders)
+        assert r["__chunk"] == sum(b <= (r["t"], r["i"]) for b in borders.get(r["g"], ()))
+
+
+def test_whole_groups_if_no_part_of_a_large_source_is_over_the_limit(spark):
+    from leakgauge.plans.ordered import Layout, layout_if_small
+
+    source = spark.range(100)
+    assert layout_if_small(source, 99) is None
+    assert layout_if_small(source, 25, F.col("id") % 4) == Layout(False)
+    assert layout_if_small(source, 24, F.col("id") % 4) is None
