@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leakgauge.contract import MODEL_FEATURES, DataError
@@ -172,6 +173,47 @@ def test_selection_by_validation_and_nested_folds(burst_rows):
     assert predicted.groupBy("apex_domain").agg(F.count_distinct("outer_fold").alias("n")).where("n > 1").isEmpty()
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_experiments_return_starts_at_files(spark, burst_rows, allocation):
+    """Rows with a long plan behind them are worked out once: no window and no source row is left in what is returned."""
+    features = cleaning.derive_features(burst_rows)
+    for _ in range(3):
+        features = features.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("apex_domain"))).drop("n").where("row_id >= 0")
+    easy = dict(policy=EASY["policy"], thresholds=(0.3, 0.5))
+    predicted, _ = selection.nested_evaluation(features, [QUICK], outer=2, inner=2, **easy)
+    selected = selection.select_by_groups(features, [QUICK], 2, **easy)
+    attacks = links.exclude_domains(burst_rows.where("label = 1"), allocation.where("outer_fold = 1"))
+    big = allocation.where("outer_fold = 1").orderBy("apex_domain").first()["apex_domain"]
+    result = experiments.held_out_experiment(burst_rows, allocation, 1, {"more": ("attack", attacks)}, big, must_include=big, **EASY)
+    for df in (predicted, selected.scores, selected.trials, result["predictions"], result["metrics"], result["captures"]):
+        assert "Window" not in plan_of(df) and "InMemoryRelation" not in plan_of(df) and "LogicalRDD" not in plan_of(df)
+
+
+def test_a_fit_deals_its_rows_by_rows_and_trees(spark, burst_rows, monkeypatch):
+    seen, real = [], forest.Pipeline.fit
+
+    def fit(self, df, *args):
+        seen.append((df.rdd.getNumPartitions(), plan_of(df)))
+        return real(self, df, *args)
+
+    monkeypatch.setattr(forest.Pipeline, "fit", fit)
+    monkeypatch.setattr(forest, "ROW_TREES", 100)
+    rows = forest.model_input(cleaning.derive_features(burst_rows))
+    forest.fit_forest(rows, QUICK)
+    forest.fit_forest(rows.unionByName(rows), QUICK)
+    assert [n for n, _ in seen] == [-(-360 * QUICK.trees // 100), -(-720 * QUICK.trees // 100)]
+    assert not any("Window" in plan for _, plan in seen)
+
+
+def test_replay_scores_its_rows_once(spark, burst_rows, tiny_model):
+    features = cleaning.derive_features(burst_rows)
+    saved = forest.with_prediction(features, tiny_model, 0.5).select("row_id", "apex_domain", "label", "prediction", "score")
+    assert "UDF" not in plan_of(experiments.replay_checks(saved, features, Bundle(tiny_model, 0.5)))
+
+
 def test_replay_notices_a_changed_score(burst_rows):
     features = cleaning.derive_features(burst_rows)
     bundle = Bundle(forest.fit_forest(forest.model_input(features), QUICK), 0.5)
