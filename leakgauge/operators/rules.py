@@ -12,15 +12,17 @@ from leakgauge.contract import (
 from leakgauge.operators.metrics import long_features, nearest_rank_quantiles, with_rates
 from leakgauge.operators.ranking import best_trial
 from leakgauge.plans.ordered import ROWS_PER_TASK, running_sum, with_running
+from leakgauge.session import stored
 
 
 def value_table(rows):
     """Rows per class, feature and value: all that thresholds are chosen from, far smaller than the rows.
 
-    It is kept (memory, then disk) because the steps below read it several times.
+    It is written and read back: the steps below read it some twenty times at once, and a cache that is not filled yet is
+    worked out anew by each of them.
     """
     values = long_features(rows, RULE_FEATURES, ["label"])
-    return values.groupBy("label", "feature", "value").agg(F.count(F.lit(1)).alias("n")).persist()
+    return stored(values.groupBy("label", "feature", "value").agg(F.count(F.lit(1)).alias("n")), "values")
 
 
 def candidate_thresholds(train, keep=3, limit=ROWS_PER_TASK):

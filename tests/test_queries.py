@@ -41,3 +41,23 @@ def test_rows_broken_alike_are_no_copies(spark, tmp_path, sf_dir, name):
     events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")  # multiples of 31 lose their time
     got = queries()[name](spark, str(tmp_path)).collect()
     assert len(got) == sum(31 * pages * i % 20 == 0 for i in (1, 2))
+
+
+def test_quantiles_work_out_their_rows_once(spark, sf_dir):
+    """Ranks and totals share the value counts; the windows behind them stand in the plan of the cached table alone."""
+    plan = queries()["nearest_rank_quantiles"](spark, sf_dir)._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan and "user_id" not in plan.split("InMemoryRelation")[0]
+    assert "user_id" not in queries()["feature_medians"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_split_rows_are_read_from_a_file(spark, sf_dir):
+    from leakgauge import queries as made
+
+    for part in made.split_features(spark, sf_dir):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "InMemoryRelation" not in plan
+
+
+def test_values_of_thresholds_are_counted_once(spark, sf_dir):
+    plan = queries()["candidate_thresholds"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and "Expand" not in plan
