@@ -82,6 +82,29 @@ def test_one_row_of_a_group_stays_whatever_its_identifier(spark):
     assert [i for i, t in kept if t in (base, base + " end")] == [3] and (None, "null twice") in kept
 
 
+@pytest.mark.parametrize("threshold,moved", [("16k", False), ("-1", True)])
+def test_texts_of_rows_that_stay_are_not_moved(spark, threshold, moved):
+    """The numbers of the rows that stay are a table far over the optimiser's threshold; as bits they are under it."""
+    texts = [f"a{i // 2} b{i // 2} c{i // 2} d{i // 2} e{i // 2} f" for i in range(12_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = similar.first_of_groups(docs)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        ids = sorted(r.doc_id for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ids == list(range(0, 12_000, 2))
+    assert ("Exchange hashpartitioning" in plan) == moved
+
+
+def test_row_numbers_as_bits(spark):
+    numbers = [0, 1, 62, 63, 64, 127, 1 << 33, (1 << 33) + 63, (5 << 33) + 70]
+    words = dict(map(tuple, similar.row_bits(spark.createDataFrame([(n,) for n in numbers], "n long"), "n").collect()))
+    assert sorted(64 * w + i for w, bits in words.items() for i in range(64) if bits >> i & 1) == numbers
+
+
 def test_hot_group_of_near_copies_verifies_few_pairs(spark, monkeypatch):
     """Copies of one text with changed words: links grow with the group, and tiles change nothing."""
     rng = random.Random(4)
