@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leakgauge.llm import repeats
 
@@ -67,6 +68,29 @@ def test_planted_repeats(spark, monkeypatch, many, together, place):
     assert report(docs) == Counter(plain_report(rows))
 
 
+@pytest.mark.parametrize("shares", [1, 20])
+def test_planted_repeats_of_rare_and_frequent_contents(spark, monkeypatch, shares):
+    monkeypatch.setattr(repeats, "SHARES", shares)
+    rows = planted(9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert report(docs) == Counter(plain_report(rows))
+
+
+def test_places_of_one_content_stay_in_many_tasks(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables of full size
+    try:
+        rows = [(1, 1, k) for k in range(4000)] + [(1, 2 + k // 3, k) for k in range(4000, 7000)] + [(2, k, k) for k in range(7000, 7500)]
+        places = spark.createDataFrame(rows, "anchor long, content long, place long").repartition(8)
+        found = repeats.copied_places(places, places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n")))
+        got = found.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    size = Counter((a, c) for a, c, _ in rows)
+    assert sorted(tuple(r)[:3] for r in got) == sorted(r for r in rows if size[r[:2]] > 1)
+    assert max(Counter(r["task"] for r in got if r["content"] == 1).values()) <= 1000
+
+
 def test_bucket_refinement_stops_at_the_length():
     rng = random.Random(1)
     a, b = (bytes(rng.randrange(3) for _ in range(700)) for _ in range(2))
