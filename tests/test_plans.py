@@ -249,6 +249,32 @@ def test_replay_reports_a_changed_metric_and_a_changed_feature(spark, burst_rows
     assert check(scored, table.limit(3)).changed_features == features.count() - 3
 
 
+def test_replay_compares_rank_statistics_and_refuses_unknown_metrics(burst_rows, tiny_model):
+    features = cleaning.derive_features(burst_rows)
+    bundle = Bundle(tiny_model, 0.5)
+    saved = forest.with_prediction(features, tiny_model, 0.5).select("row_id", "apex_domain", "label", "prediction", "score")
+    scored = experiments.run_metrics(saved)
+    check = lambda m: experiments.replay_checks(saved, features, bundle, m).first().metrics_identical
+    assert check(scored) is True
+    assert check(scored.withColumn("roc_auc", F.col("roc_auc") - 0.25)) is False
+    assert check(scored.withColumn("average_precision", F.col("average_precision") - 0.25)) is False
+    with pytest.raises(DataError, match="log_loss"):
+        check(scored.withColumn("log_loss", F.lit(0.1)))
+
+
+def test_average_precision_does_not_depend_on_the_order_of_rows(spark):
+    """Chunks over several tasks are summed in another order than one sorted table."""
+    from leakgauge.operators.metrics import ranking_metrics
+
+    label = (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(10)) < 3).cast("int").alias("label")
+    df = spark.range(3000).select(label, (F.col("id") * 7919 % 3001 / 3001).alias("score"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert len({ranking_metrics(df, **how).first().average_precision for how in ({}, {"limit": 300}, {"limit": 700})}) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_a_stopped_selection_goes_on(spark, burst_rows, tmp_path, monkeypatch):
     from leakgauge.plans.forest import ForestSpec, model_input
 
