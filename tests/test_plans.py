@@ -275,6 +275,16 @@ def test_average_precision_does_not_depend_on_the_order_of_rows(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_row_ids_are_never_broadcast(spark, tmp_path):
+    spark.range(100).selectExpr("id AS row_id", "'a' AS apex_domain", "0 AS label").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    broken = links.incomplete_histories(rows.where("row_id <> 7"), rows)
+    assert broken.count() == 1
+    found = [links.missing_ids(rows, rows), links.join_predictions(rows.select("row_id"), rows), broken]
+    kinds = [df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("BroadcastHashJoin") for df in found]
+    assert kinds[:2] == [0, 0] and kinds[2] <= 2  # the domains' alone
+
+
 def test_a_stopped_selection_goes_on(spark, burst_rows, tmp_path, monkeypatch):
     from leakgauge.plans.forest import ForestSpec, model_input
 
